@@ -83,48 +83,86 @@ def range_buckets(df: DataFrame, score: str, tie: Column, buckets: int = 64) ->
     )
 
 
-def global_rank(df: DataFrame, score: str, tie: Column, name: str = "rank") -> DataFrame:
-    """Exact 1-based rank by ``score desc, md5(tie)`` over the whole table, with no one-task window."""
+def global_rank(
+    df: DataFrame, score: str, tie: Column, name: str = "rank", keys: list[str] | None = None
+) -> DataFrame:
+    """Exact 1-based rank by ``score desc, md5(tie)`` over the table or per key, with no one-task window.
+
+    ``keys`` is for a few large groups (two groups, a list of settings); their offsets
+    table holds one row per group and bucket.
+    """
+    keys = keys or []
     rows = range_buckets(df.withColumn("_neg", -F.col(score)), "_neg", tie)
-    offsets = _offsets(rows, {"_n": F.lit(1)})
-    inside = W.partitionBy("_bucket", "_sub").orderBy("_neg", "_mark")
+    offsets = _offsets(rows, {"_n": F.lit(1)}, keys)
+    inside = W.partitionBy(*keys, "_bucket", "_sub").orderBy("_neg", "_mark")
     return (
         rows.withColumn("_inner", F.row_number().over(inside))
-        .join(F.broadcast(offsets), ["_bucket", "_sub"], "left")
+        .join(offsets, [*keys, "_bucket", "_sub"], "left")
         .withColumn(name, F.col("_inner") + F.col("_n_before"))
         .drop("_neg", "_mark", "_bucket", "_sub", "_inner", "_n_before")
     )
 
 
-def _offsets(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """Totals of all earlier buckets; at most 128 * 256 rows, so one window task is enough."""
-    totals = rows.groupBy("_bucket", "_sub").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
-    earlier = W.orderBy("_bucket", "_sub").rowsBetween(W.unboundedPreceding, -1)
+def _offsets(rows: DataFrame, sums: dict[str, Column], keys: list[str]) -> DataFrame:
+    """Totals of all earlier buckets of the key; at most 128 * 256 rows per key reach the window."""
+    totals = rows.groupBy(*keys, "_bucket", "_sub").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    earlier = W.partitionBy(*keys).orderBy("_bucket", "_sub").rowsBetween(W.unboundedPreceding, -1)
     return totals.select(
+        *keys,
         "_bucket",
         "_sub",
         *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_before") for k in sums],
     )
 
 
-def global_running_sums(df: DataFrame, value: str, sums: list[str]) -> DataFrame:
-    """Inclusive running sums over distinct ``value`` ascending, whole table.
+def global_running_sums(
+    df: DataFrame, value: str, sums: list[str], keys: list[str] | None = None
+) -> DataFrame:
+    """Inclusive running sums over distinct ``value`` ascending, for the table or per (few, large) key.
 
-    Returns one row per distinct value with ``sums`` and ``cum_<sum>``.
+    Returns one row per key and distinct value with ``sums`` and ``cum_<sum>``.
     """
-    per_value = df.groupBy(value).agg(*[F.sum(s).alias(s) for s in sums])
+    keys = keys or []
+    per_value = df.groupBy(*keys, value).agg(*[F.sum(s).alias(s) for s in sums])
     rows = range_buckets(per_value.withColumn("_score", F.col(value).cast("double")), "_score", F.lit(""))
     rows = rows.withColumn("_sub", F.lit(""))
-    offsets = _offsets(rows, {s: F.col(s) for s in sums})
-    inside = W.partitionBy("_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(offsets), ["_bucket", "_sub"], "left")
+    offsets = _offsets(rows, {s: F.col(s) for s in sums}, keys)
+    inside = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.join(offsets, [*keys, "_bucket", "_sub"], "left")
     return out.select(
+        *keys,
         value,
         *sums,
         *[(F.sum(s).over(inside) + F.col(f"{s}_before")).alias(f"cum_{s}") for s in sums],
     )
 
 
+def exact_quantiles(df: DataFrame, value: str, probabilities: list[float]) -> DataFrame:
+    """One row with ``edges``: the linear-interpolated quantiles of the whole column."""
+    rows = df.select(F.col(value).cast("double").alias("_v"), F.lit(1).alias("_n")).where(F.col("_v").isNotNull())
+    cum = global_running_sums(rows, "_v", ["_n"])
+    cum = cum.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_total")))).withColumn(
+        "_from", F.col("cum__n") - F.col("_n")
+    )
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("cum__n")), F.col("_v")))
+
+    ranks = [F.lit(p) * (F.col("_total") - 1) for p in probabilities]
+    picks = []
+    for i, r in enumerate(ranks):
+        picks += [at(F.floor(r)).alias(f"lo{i}"), at(F.ceil(r)).alias(f"hi{i}"), F.max(r - F.floor(r)).alias(f"fr{i}")]
+    one = cum.agg(*picks)
+    return one.select(
+        F.array(
+            *[
+                F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"fr{i}")
+                for i in range(len(probabilities))
+            ]
+        ).alias("edges")
+    )
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, name: str = "rn") -> DataFrame:
     """First ``k`` rows of each key; the group limit runs before the shuffle."""
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
