@@ -18,11 +18,13 @@ CHUNK = "_chunk"
 
 
 def lag_in_chunks(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, values: list[str], prefix: str = "prev_"
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, values: list[str], prefix: str = "prev_",
+    ahead: bool = False,
 ) -> DataFrame:
-    """Add ``prefix + v``: the value of the previous row of the same key, null on the first."""
+    """Add ``prefix + v``: the value of the previous row of the same key (the next one with ``ahead``), else null."""
     rows = df.withColumn(CHUNK, chunk)
-    inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
+    inside = W.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() if ahead else F.col(c).asc() for c in order])
+    across = W.partitionBy(*keys).orderBy(F.col(CHUNK).desc() if ahead else F.col(CHUNK).asc())
     payload = F.struct(*[F.col(v).alias(v) for v in values])
     rows = rows.withColumns(
         {
@@ -33,7 +35,7 @@ def lag_in_chunks(
     )
     tails = rows.where("_last").select(*keys, CHUNK, payload.alias("_tail"))
     carry = tails.select(
-        *keys, CHUNK, F.lag("_tail").over(W.partitionBy(*keys).orderBy(CHUNK)).alias("_carry")
+        *keys, CHUNK, F.lag("_tail").over(across).alias("_carry")
     ).where(F.col("_carry").isNotNull())
     joined = rows.join(carry, [*keys, CHUNK], "left")
     before = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_before"))
