@@ -244,7 +244,7 @@ class _Before(Tables):
 
     @property
     def documents(self) -> DataFrame:
-        return self.spark.read.parquet(self.path("documents")).where(F.col("source") != NEW_SOURCE)
+        return Tables(self.spark, self.root).documents.where(F.col("source") != NEW_SOURCE)
 
 
 def _old_strong(t: Tables) -> DataFrame:
