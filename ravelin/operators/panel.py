@@ -24,7 +24,7 @@ TOLERANCE = 0.02
 
 
 def pair_with_previous(
-    df: DataFrame, keys: list[str], start: str, tie: str, values: list[str], chunk_unit: str = "year"
+    df: DataFrame, keys: list[str], start: str, tie: str, values: list[str], chunk_unit: str = "month"
 ) -> DataFrame:
     """Each row with the previous row of its key and the gap in years; first rows are dropped."""
     paired = lag_in_chunks(df, keys, [start, tie], F.date_trunc(chunk_unit, start), [start, *values])

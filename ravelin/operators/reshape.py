@@ -108,4 +108,4 @@ def version_overlay(base: DataFrame, later: DataFrame, key: str, version: int, t
     rows = base.withColumn("version", F.lit(0)).unionByName(later.where(F.col("version") <= version))
     newest = rows.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(F.desc("version")))).where("_rn = 1").drop("_rn")
     flags = touched.where(F.col("version") <= version).select("subject").distinct().withColumn("_t", F.lit(1))
-    return newest.join(F.broadcast(flags), "subject", "left").withColumn("to_review", F.coalesce("_t", F.lit(0))).drop("_t")
+    return newest.join(flags, "subject", "left").withColumn("to_review", F.coalesce("_t", F.lit(0))).drop("_t")

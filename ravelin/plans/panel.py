@@ -62,7 +62,7 @@ RANK_TIES = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extended
 def rank_check(t: Tables) -> DataFrame:
     ranked = running_sum_in_chunks(
         t.lineitem.select("l_orderkey", *RANK_TIES), ["l_orderkey"], RANK_TIES,
-        F.date_trunc("year", "l_shipdate"), F.lit(1), "rn",
+        F.date_trunc("month", "l_shipdate"), F.lit(1), "rn",
     )
     agree = F.col("rn") == F.col("l_linenumber")
     return ranked.agg(

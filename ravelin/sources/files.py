@@ -92,7 +92,7 @@ def read_cells(cells: DataFrame, label: str, offsets: dict[int, int], quality: i
     wanted = F.explode(
         F.array(*[F.struct(F.lit(y).alias("year"), F.lit(o).alias("offset")) for y, o in offsets.items()])
     ).alias("w")
-    below = cells.join(F.broadcast(header), "sheet").where(F.col("row") > F.col("h_row"))
+    below = cells.join(header, "sheet").where(F.col("row") > F.col("h_row"))
     names = below.where(F.col("col") == 0).select("sheet", "row", F.trim("text").alias("name"))
     values = below.select("sheet", "row", "col", "text", "h_col", wanted).where(
         (F.col("col") == F.col("h_col") + F.col("w.offset")) | (F.col("col") == F.col("h_col") + F.col("w.offset") + quality)
