@@ -187,15 +187,6 @@ def annual_change(df: DataFrame, keys: list[str], months_needed: int = 12) -> Da
     return annual.withColumn("change_pct", (F.col("index_mean") / before - 1) * 100)
 
 
-def yearly_index(df: DataFrame, at: str, value: Column, keys: list[str]) -> DataFrame:
-    """Monthly totals per key turned into the yearly change of their mean."""
-    monthly = (
-        df.groupBy(*keys, F.year(at).alias("year"), F.month(at).alias("month"))
-        .agg(F.sum(value).alias("value"))
-    )
-    return annual_change(monthly, keys)
-
-
 def forecast_rows(
     pairs: DataFrame, regimes: DataFrame, rules: DataFrame, index_rent: DataFrame, segment: list[str],
     internal_weight: float = INTERNAL_WEIGHT,

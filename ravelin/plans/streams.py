@@ -30,24 +30,24 @@ def corpus_store(t: Tables) -> events.CorpusStore:
     return events.CorpusStore(t.spark, scratch(t.spark, "corpus"), mark, strongest, bound.judged)
 
 
-@query("str01_new_file_events")
-def new_files(t: Tables) -> DataFrame:
-    """The corpus arrives as files (a base and two events); each gives a snapshot, and the events a diff."""
-    folder = scratch(t.spark, "inbox")
+def run_corpus(t: Tables) -> events.CorpusStore:
+    """The corpus arrives in a folder as a base and two events, each run taking the files that wait."""
+    folder, state = scratch(t.spark, "inbox"), scratch(t.spark, "inbox-state")
     rows = bound.statements(t).drop("duplicate_of")
     late = [s for group in EVENT_GROUPS for s in group]
     steps = [rows.where(~F.col("source_id").isin(late))] + [rows.where(F.col("source_id").isin(g)) for g in EVENT_GROUPS]
     store = corpus_store(t)
-    for n, part in enumerate(steps):
-        # files of a source may arrive in any number; the run takes all that wait
-        part.write.mode("append").parquet(f"{folder}/{n}")
-        stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/{n}")
-        run = (
-            stream.writeStream.foreachBatch(lambda df, _, n=n: store.on_event(df, n)).trigger(availableNow=True)
-            .option("checkpointLocation", f"{folder}-state/{n}").start()
-        )
-        run.awaitTermination()
-    return t.spark.read.option("basePath", f"{store.root}/diffs").parquet(f"{store.root}/diffs")
+    for part in steps:
+        part.write.mode("append").parquet(folder)
+        events.run_events(store, folder, rows.schema, state)
+    return store
+
+
+@query("str01_new_file_events")
+def new_files(t: Tables) -> DataFrame:
+    """Changed subjects after each event."""
+    diffs = f"{run_corpus(t).root}/diffs"
+    return t.spark.read.option("basePath", diffs).parquet(diffs)
 
 
 @query(

@@ -77,11 +77,14 @@ class CorpusStore:
         return marked.join(ids, "id", "left_semi")
 
 
-def run_events(store: CorpusStore, folder: str, schema: T.StructType, checkpoint: str, prepare: Step) -> None:
-    """Process every file of a folder that has not been seen, one file per batch, then stop."""
-    stream = store.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def run_events(store: CorpusStore, folder: str, schema: T.StructType, checkpoint: str) -> None:
+    """Take the files of a folder that have not been seen as one batch, then stop.
+
+    The stream's checkpoint numbers the batches across runs, so the batch number is the version.
+    """
+    stream = store.spark.readStream.schema(schema).parquet(folder)
     query = (
-        prepare(stream).writeStream.foreachBatch(lambda df, n: store.on_event(df, n))
+        stream.writeStream.foreachBatch(lambda df, n: store.on_event(df, n))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()

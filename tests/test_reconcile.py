@@ -100,3 +100,58 @@ def test_state_against_itself_has_no_diff(spark):
     cols = "subject string, current_id long, passages long, independent long, sources long, flags_risk long, has_deadline long, superseded long, contradictions long"
     df = spark.createDataFrame(row, cols)
     assert corpus.diff_snapshots(df, df).count() == 0
+
+
+def test_pairing_cascade_equals_the_loop(spark):
+    from ravelin.plans.reconcile import annotation_pairs
+
+    random.seed(6)
+
+    def side(n, first):
+        rows = []
+        for i in range(n):
+            x, y = round(random.uniform(0, 5), 3), round(random.uniform(0, 5), 3)
+            rows.append(("p", first + i, x, y, random.choice("HV"), random.randint(0, 1), random.randint(0, 1), f"{int(x)}:{int(y)}"))
+        return rows
+
+    plan, shop = side(45, 0), side(45, 1000)
+    edges = []
+    for p in plan:
+        for s in shop:
+            dx, dy = abs(p[2] - s[2]), abs(p[3] - s[3])
+            if p[4] == s[4]:
+                across, along = (dx, dy) if p[4] == "V" else (dy, dx)
+                edges.append((p[1], s[1], round((dx * dx + dy * dy) ** 0.5, 9), p[5] == s[5] and p[6] == s[6], p[5] != s[5] and p[6] != s[6], p[7] == s[7], round(across, 9), round(along, 9)))
+    used_a, used_b, want = set(), set(), {}
+
+    def take(candidates, how):
+        for e in candidates:
+            if e[0] not in used_a and e[1] not in used_b:
+                used_a.add(e[0])
+                used_b.add(e[1])
+                want[e[0]] = (e[1], how)
+
+    take(sorted((e for e in edges if e[2] <= 0.6 and e[3]), key=lambda e: (e[2], e[0], e[1])), "near, same value")
+    take(sorted((e for e in edges if e[2] <= 0.6 and not e[3] and e[5]), key=lambda e: (e[4], e[2], e[0], e[1])), "near, same cell")
+    take(sorted((e for e in edges if e[5] and not e[4]), key=lambda e: (not e[3], e[2], e[0], e[1])), "same cell")
+    free = [e for e in edges if e[0] not in used_a and e[1] not in used_b and e[2] <= 0.8]
+    best = lambda i, k: min((f for f in free if f[k] == i), key=lambda f: (f[2], f[0], f[1]))
+    take([e for e in free if e[3] and best(e[0], 0) == e and best(e[1], 1) == e], "mutual nearest")
+    take(sorted((e for e in edges if e[3] and e[6] <= 0.3 and e[7] <= 3.0), key=lambda e: (e[6], e[7], e[0], e[1])), "same line")
+    schema = "page string, id int, x double, y double, axis string, n int, m int, loc string"
+    got = {r.a: (r.b, r.how) for r in annotation_pairs(spark.createDataFrame(plan, schema), spark.createDataFrame(shop, schema)).collect()}
+    assert got == want
+
+
+def test_corpus_events_give_the_counters_of_the_whole(spark):
+    from ravelin.plans import corpus as bound
+    from ravelin.plans.streams import run_corpus
+    from ravelin.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    store = run_corpus(t)
+    keep = ["subject", "passages", "independent", "sources", "flags_risk"]
+    last = {tuple(r) for r in store.read("snapshots", 2).select(*keep).collect()}
+    assert last == {tuple(r) for r in corpus.counters(bound.statements(t)).select(*keep).collect()}
+    assert store.read("pairs", 2).groupBy("a", "b").count().where("count > 1").isEmpty()
+    assert store.read("snapshots", 0).count() > 0 and store.read("diffs", 1).count() > 0
