@@ -10,8 +10,8 @@ Steps, none of which moves texts between tasks:
 3. every band bucket links each class to its smallest class (a star, never all pairs); links are confirmed on the full sets, which a
    second scan makes for the classes that are in such a link;
 4. components of the confirmed links. A bucket that still holds several components may hide a link between classes that are both no star
-   centre. Those pairs are formed under bounds that no real link can fail: sizes, and at most the shingles that occur in another class
-   of the remaining ones can be shared. They are confirmed the same way, and the components made again.
+   centre. For the classes of such buckets, pairs of different components are found by a join on the rarest shingles of their sets, under
+   bounds that no real link fails. They are confirmed the same way, and the components made again.
 
 A pair at the threshold itself is a candidate with probability 1 - (1 - 0.8**4)**24 = 0.999997; more similar pairs with a higher one.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm import wordhash as W
@@ -179,22 +179,32 @@ def link_classes(docs: DataFrame, text: str, classes: DataFrame, size: int, perc
     marked = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = marked.groupBy("key").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("key")
     open_rows = written(marked.join(mixed, "key"), "open")
-    names = open_rows.select("cls").distinct()
-    single = (
-        sets.join(names, "cls", "left_semi").select("cls", F.explode("shingles").alias("shingle"))
-        .groupBy("shingle").agg(F.min("cls").alias("cls"), F.max("cls").alias("last")).where("cls = last").groupBy("cls").agg(F.count("*").alias("alone"))
-    )
-    bound = open_rows.join(written(single, "single"), "cls", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-    # a class that shares too few shingles with all other open classes together has no link left to find
-    bound = written(bound.where(F.col("most") * 100 >= F.col("n") * percent), "bound")
-    x, y = (bound.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "hub", "n", "root", "most"))) for s in "xy")
-    possible = F.least("most_x", "most_y") * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("cls_x") < F.col("cls_y")) & (F.col("cls_x") != F.col("hub_x")) & (F.col("root_x") != F.col("root_y")) & possible)
-    rest = written(rest.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b")).distinct(), "rest")
-    more = written(_confirmed(rest, sets, percent), "links")
+    more = written(_confirmed(_rest(open_rows, sets, percent), sets, percent), "links")
     return roots if more.isEmpty() else components(links.union(more))
 
 
+def _rest(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open classes of different components that may be similar enough, by prefixes of their sets.
+
+    Shingles are ordered by the number of open classes that have them. Two similar sets share a shingle among the first ones of both, and
+    from the place of the first shared one on there must be enough shingles left; both are conditions of the join itself.
+    """
+    names = written(open_rows.select("cls", "n", "root").distinct(), "open")
+    each = sets.join(names, "cls", "left_semi").select("cls", F.explode("shingles").alias("shingle"))
+    shared = written(each.groupBy("shingle").agg(F.count("*").alias("df"), F.min("cls").alias("cls")), "shared")
+    alone = shared.where("df = 1").groupBy("cls").agg(F.count("*").alias("alone"))
+    able = names.join(alone, "cls", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    able = written(able.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent), "able")
+    tokens = sets.join(able, "cls").select("cls", able["n"], "root", "alone", F.explode("shingles").alias("shingle")).join(shared.where("df > 1").select("shingle", "df"), "shingle")
+    tokens = tokens.withColumn("place", F.col("alone") + F.row_number().over(Window.partitionBy("cls").orderBy("df", "shingle")))
+    prefix = written(tokens.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("shingle", "cls", "n", "root", "place"), "prefix")
+    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "root", "place"))) for s in "xy")
+    left = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) + 1
+    near = (F.col("cls_x") < F.col("cls_y")) & (F.col("root_x") != F.col("root_y")) & (left * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
+    pairs = x.join(y, (x["shingle"] == y["shingle"]) & near).select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
+    return written(pairs.distinct(), "rest")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, text_hash, n_shingles, component_id, kept."""
     rows = written(signatures(docs, doc_id, text, size), "signatures")
