@@ -1,4 +1,4 @@
 """All queries of the package."""
 
-from ravelin.llm import decontaminate, minmax_dedup, url_filter  # noqa: F401
+from ravelin.llm import decontaminate, language_mixture, line_quality, minmax_dedup, secrets, url_filter  # noqa: F401
 from ravelin.llm.registry import CHECK_SQL, QUERIES  # noqa: F401
