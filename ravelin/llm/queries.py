@@ -1,4 +1,6 @@
 """All queries of the package."""
 
-from ravelin.llm import decontaminate, language_mixture, line_quality, minmax_dedup, secrets, url_filter  # noqa: F401
+from ravelin.llm import (  # noqa: F401
+    decontaminate, extendible_shards, language_mixture, line_quality, minmax_dedup, piece_sampling, secrets, training_order, url_filter, warc,
+)
 from ravelin.llm.registry import CHECK_SQL, QUERIES  # noqa: F401
