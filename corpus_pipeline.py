@@ -46,7 +46,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = piece_sampling.sample_pieces(docs.select("doc_id", "text"), F.col("doc_id"), keep_text=False)
-    return found.select("doc_id", F.size("samples").alias("n_samples"), F.col("samples").getItem(0).getField("ids").alias("ids"), "samples")
+    return found.select("doc_id", F.size("samples").alias("n_samples"), "samples")
 
 
 STAGES = [

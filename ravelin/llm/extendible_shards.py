@@ -84,13 +84,16 @@ def sharded(docs: DataFrame, key: str = "doc_id", content: str = "text", limit:
 
 
 def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", content: str = "text", limit: int = LIMIT_BYTES) -> None:
-    """Parquet folders ``shard=<bits>`` below ``folder``, one task's work each at most; rows of a key that spans shards go to all of them once."""
-    rows = docs.withColumn("_row", F.row_number().over(_by(docs, key, content)))
-    names = assign_shards(docs, key, content, limit).withColumn("_hash", F.col("bytes"))
-    names = names.select(F.col("key").alias("_key"), "shard", F.col("bytes").alias("_bytes"), F.row_number().over(_by_key()).alias("_row"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (rows["_row"] == names["_row"]) & (F.coalesce(F.octet_length(content), F.lit(0)) == F.col("_bytes"))
-    out = rows.join(names, same).select(docs["*"], F.concat(F.lit("b"), "shard").alias("shard"))
+    """Parquet folders ``shard=b<bits>`` below ``folder``, one file each.
+
+    ``docs`` is read twice and must give the same rows in the same partitions, as scans of files do; otherwise this is an error.
+    """
+    names = assign_shards(docs, key, content, limit).select(F.col("row").alias("_row"), F.col("key").alias("_key"), F.concat(F.lit("b"), "shard").alias("shard"))
+    rows = docs.drop("shard").withColumn("_row", F.monotonically_increasing_id())
+    out = rows.join(names, (rows["_row"] == names["_row"]) & F.col(key).eqNullSafe(F.col("_key"))).drop("_row", "_key")
     out.repartition("shard").write.partitionBy("shard").parquet(folder)
+    if docs.sparkSession.read.parquet(folder).count() != names.count():
+        raise RuntimeError("the input changed between the two reads")
 
 
 SQL = f"""

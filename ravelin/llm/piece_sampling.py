@@ -189,8 +189,14 @@ def build_lattice(vocabulary: Vocabulary, data: np.ndarray, limits: np.ndarray)
         below[start[low[a:b]]] = top + np.log(total)
     logp = weight + np.where(end == stop, 0.0, below[np.minimum(end, n)]) - below[start] if n else np.zeros(0)
     prob = np.exp(logp)
-    sums = np.concatenate([[0.0], np.cumsum(prob)])
-    upto = sums[1:] - np.repeat(sums[low], high - low)
+    # running sums node by node, so that they don't depend on what else is in the slice
+    upto = prob.copy()
+    more = low[high - low > 1] + 1
+    last = high[high - low > 1]
+    while len(more):
+        upto[more] += upto[more - 1]
+        more += 1
+        more, last = more[more < last], last[more < last]
     upto[high - 1] = 1.0
     first, last = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
     first[start[low]], last[start[low]] = low, high
@@ -305,6 +311,11 @@ def _open_entries(s: Slice, edges: np.ndarray, owners: np.ndarray, before: np.nd
     return truncated(place, bounds, uniforms(s.seeds[rows], sample, where, 1))
 
 
+def _before(logs: np.ndarray) -> np.ndarray:
+    """Sum of the earlier values at each place."""
+    return np.concatenate([[0.0], np.cumsum(logs[:-1])]) if len(logs) else logs
+
+
 def _best(paths: list[Path]) -> tuple[float, Path | None, int]:
     best, owner, where = -np.inf, None, -1
     for p in paths:
@@ -323,8 +334,7 @@ def sample_slice(s: Slice, k: int) -> tuple[list[list[Path]], np.ndarray]:
     owners = np.repeat(occurrences, counts)
     row = s.row[owners]
     bounds = np.searchsorted(row, np.arange(rows + 1))
-    sums = np.concatenate([[0.0], np.cumsum(lat.logp[edges])])
-    before = sums[:-1] - sums[bounds[:-1]][row]
+    before = np.concatenate([_before(lat.logp[edges[a:b]]) for a, b in zip(bounds[:-1], bounds[1:])] or [np.zeros(0)])
     root = -np.log(-np.log(uniforms(s.seeds, 0, np.zeros(rows, np.int64), 2)))
     near = np.flatnonzero(before >= -FAR)
     open_ = _open_entries(s, edges[near], owners[near], before[near], root[row[near]], row[near], 1)
@@ -332,7 +342,7 @@ def sample_slice(s: Slice, k: int) -> tuple[list[list[Path]], np.ndarray]:
     found = []
     for r in range(rows):
         a, b = bounds[r], bounds[r + 1]
-        found.append([Path(edges[a:b], owners[a:b], before[a:b], open_[limits[r]:limits[r + 1]], sums[b] - sums[a], root[r], 1)])
+        found.append([Path(edges[a:b], owners[a:b], before[a:b], open_[limits[r]:limits[r + 1]], before[b - 1] + lat.logp[edges[b - 1]], root[r], 1)])
     thresholds = np.full(rows, -np.inf)
     for sample in range(2, k + 2):
         branched = []
@@ -383,13 +393,12 @@ def _branch(s: Slice, branched: list, found: list[list[Path]], sample: int) -> N
     occurrence = np.concatenate(lanes)
     edges, counts = s.follow(occurrence, np.concatenate(cursors), sample)
     owners = np.repeat(occurrence, counts)
-    sums = np.concatenate([[0.0], np.cumsum(lat.logp[edges])])
     ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(x) for x in lanes])].tolist()
     made, a = [], 0
     for (r, path, i, bound), (child, owner), b in zip(branched, heads, ends):
         base = path.before[i] + lat.logp[child]
-        before = base + sums[a:b] - sums[a]
-        log_prob = base + sums[b] - sums[a]
+        before = base + _before(lat.logp[edges[a:b]])
+        log_prob = before[-1] + lat.logp[edges[b - 1]] if b > a else base
         near = int(np.searchsorted(-before, FAR, "right"))
         made.append((r, path, i, bound, child, owner, a, b, before, log_prob, near))
         a = b
