@@ -90,10 +90,11 @@ def known_documents(new: DataFrame, known: DataFrame, doc: str, digest: str) ->
     )
 
 
-def roots(pointers: DataFrame, child: str, parent: str, rounds: int = 40) -> DataFrame:
-    """Last element of each pointer chain, by pointer doubling: chains of length n need log2(n) rounds."""
+def roots(pointers: DataFrame, child: str, parent: str) -> DataFrame:
+    """Last element of each pointer chain, by pointer doubling: chains of length n need log2(n) rounds; a cycle is an error."""
     current = cut_lineage(pointers.select(F.col(child).alias("id"), F.col(parent).alias("root")))
-    for _ in range(rounds):
+    steps = current.count().bit_length() + 1
+    while True:
         further = current.select(F.col("id").alias("root"), F.col("root").alias("_next"))
         stepped = cut_lineage(
             current.join(further, "root", "left").select(
@@ -103,10 +104,13 @@ def roots(pointers: DataFrame, child: str, parent: str, rounds: int = 40) -> Dat
         current = stepped.select("id", "root")
         if stepped.where("_moved").isEmpty():
             break
+        steps -= 1
+        if steps < 0:
+            raise ValueError("the pointers form a cycle")
     return current.select(F.col("id").alias(child), "root")
 
 
-def connected_groups(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def connected_groups(links: DataFrame, a: str, b: str) -> DataFrame:
     """(id, group) with group = smallest id of the component; alternating large and small stars.
 
     Neighbour lists are never collected: each star is a map-side minimum joined back to its edges.
@@ -115,7 +119,7 @@ def connected_groups(links: DataFrame, a: str, b: str, rounds: int = 40) -> Data
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,12 +24,20 @@ def hash_fraction(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def poisson_steps() -> list[float]:
+    """Cumulative probabilities of Poisson(1), up to the last one below 1 as a double."""
+    steps, term, total = [], math.exp(-1), 0.0
+    while total + term < 1.0:
+        total += term
+        steps.append(total)
+        term /= len(steps)
+    return steps
+
+
 def poisson_one(u: Column) -> Column:
     """Poisson(1) draw from a uniform number by its distribution function."""
-    # Cumulative probabilities of Poisson(1).
-    steps = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
     draw = F.lit(0)
-    for step in steps:
+    for step in poisson_steps():
         draw = draw + (u >= F.lit(step)).cast("int")
     return draw
 

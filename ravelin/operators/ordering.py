@@ -62,33 +62,35 @@ def running_sum_in_chunks(
     )
 
 
-def range_buckets(df: DataFrame, score: str, tie: Column, buckets: int = 64) -> DataFrame:
-    """Add ``_bucket`` and ``_sub`` that follow ``score asc, md5(tie) asc``.
+def range_buckets(df: DataFrame, score: str, tie: Column) -> DataFrame:
+    """Add ``_bucket`` and ``_sub`` that follow ``score asc nulls last, md5(tie) asc``.
 
-    The bounds are a fixed number of quantiles, so what reaches the driver does
-    not grow with the data. A score repeated often enough to be a bound gets a
-    bucket of its own, cut further by the tie hash.
+    The bounds are as many quantiles as the session has shuffle partitions (64 at least), found in a row by halving. A
+    score repeated often enough to be a bound gets a bucket of its own, and so do nulls; both are cut further by the tie hash.
     """
+    buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probabilities = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.stat.approxQuantile(score, probabilities, 0.002) or []))
-    above, equal = F.lit(0), F.lit(False)
-    for bound in bounds:
-        above = above + (F.col(score) > F.lit(bound)).cast("int")
-        equal = equal | (F.col(score) == F.lit(bound))
+    bounds = sorted(set(df.stat.approxQuantile(score, probabilities, min(0.002, 0.1 / buckets)) or []))
+
+    def place(low: int, high: int) -> Column:
+        """2 * (bounds below the score), plus 1 when the score is a bound."""
+        if low == high:
+            return F.lit(2 * low)
+        middle = (low + high) // 2
+        at = F.lit(bounds[middle])
+        return F.when(F.col(score) < at, place(low, middle)).when(F.col(score) == at, F.lit(2 * middle + 1)).otherwise(place(middle + 1, high))
+
     mark = F.md5(tie.cast("string"))
-    return df.withColumns(
-        {
-            "_mark": mark,
-            "_bucket": above * 2 + F.when(equal, 1).otherwise(0),
-            "_sub": F.when(equal, F.substring(mark, 1, 2)).otherwise(F.lit("")),
-        }
+    bucket = F.when(F.col(score).isNull(), F.lit(2 * len(bounds) + 1)).otherwise(place(0, len(bounds)))
+    return df.withColumns({"_mark": mark, "_bucket": bucket}).withColumn(
+        "_sub", F.when(F.col("_bucket") % 2 == 1, F.substring(F.col("_mark"), 1, 2)).otherwise(F.lit(""))
     )
 
 
 def global_rank(
     df: DataFrame, score: str, tie: Column, name: str = "rank", keys: list[str] | None = None
 ) -> DataFrame:
-    """Exact 1-based rank by ``score desc, md5(tie)`` over the table or per key, with no one-task window.
+    """Exact 1-based rank by ``score desc nulls last, md5(tie)`` over the table or per key, with no one-task window.
 
     ``keys`` is for a few large groups (two groups, a list of settings); their offsets
     table holds one row per group and bucket.
@@ -96,7 +98,7 @@ def global_rank(
     keys = keys or []
     rows = range_buckets(df.withColumn("_neg", -F.col(score)), "_neg", tie)
     offsets = _offsets(rows, {"_n": F.lit(1)}, keys)
-    inside = W.partitionBy(*keys, "_bucket", "_sub").orderBy("_neg", "_mark")
+    inside = W.partitionBy(*keys, "_bucket", "_sub").orderBy(F.asc_nulls_last("_neg"), "_mark")
     return (
         rows.withColumn("_inner", F.row_number().over(inside))
         .join(offsets, [*keys, "_bucket", "_sub"], "left")
@@ -106,7 +108,7 @@ def global_rank(
 
 
 def _offsets(rows: DataFrame, sums: dict[str, Column], keys: list[str]) -> DataFrame:
-    """Totals of all earlier buckets of the key; at most 128 * 256 rows per key reach the window."""
+    """Totals of all earlier buckets of the key; rows per key that reach the window: at most 256 per bucket of a repeated score."""
     totals = rows.groupBy(*keys, "_bucket", "_sub").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
     earlier = W.partitionBy(*keys).orderBy("_bucket", "_sub").rowsBetween(W.unboundedPreceding, -1)
     return totals.select(

@@ -6,35 +6,44 @@ gathered on one task.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.operators.ordering import running_sum_in_chunks, top_per_key
+from ravelin.operators.ordering import running_sum_in_chunks
 from ravelin.session import cut_lineage
 
 SPACING_TOL, LENGTH_TOL = 5.0, 25.0
-MAX_SUMMED = 6
 LOW_CONFIDENCE, APPROXIMATE_CAP, UNREAD_CAP = 0.5, 0.5, 0.4
 BLOCK = 65536
+log = logging.getLogger(__name__)
 
 
 def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def subset_sums(values: Column) -> Column:
-    """All sums of one or more of at most six values."""
-    grow = lambda sums, v: F.array_union(sums, F.transform(sums, lambda s: s + v))
-    start = F.array(F.lit(0).cast("int"))
-    return F.filter(F.aggregate(values, start, grow), lambda s: s > 0)
+def subset_sums(counts: Column, most: Column) -> Column:
+    """Sums up to ``most`` of one or more values; ``counts``: array of (qty, n), positive value and how often it occurs.
+
+    At most ``most`` sums are held, and a value is added at most ``most / value`` times, however many there are.
+    """
+
+    def grow(sums: Column, c: Column) -> Column:
+        times = F.sequence(F.lit(0), F.least(c["n"].cast("int"), F.floor(most / c["qty"]).cast("int")))
+        more = F.flatten(F.transform(times, lambda i: F.transform(sums, lambda s: s + i * c["qty"])))
+        return F.array_distinct(F.filter(more, lambda s: s <= most))
+
+    usable = F.filter(counts, lambda c: (c["qty"] > 0) & (c["qty"] <= most))
+    return F.filter(F.aggregate(usable, F.array(F.lit(0).cast("int")), grow), lambda s: s > 0)
 
 
 def compare_bars(plan: DataFrame, shop: DataFrame, key: str) -> DataFrame:
     """Gaps per (key, role) between the first plan bar of the role and the shop bars of the role.
 
     Both sides hold key, role, pos, size, qty, spacing, length. Diameter must be one of the shop
-    sizes; quantity must be a sum of up to six shop counts of that size (of all sizes when none
-    has it), not compared for stirrups; spacing and length have tolerances. ``absent`` marks a
+    sizes; quantity must be a sum of shop counts of that size (of all sizes when none has it), not compared for stirrups; spacing and length have tolerances. ``absent`` marks a
     role without shop bars.
     """
     by = [key, "role"]
@@ -48,15 +57,14 @@ def compare_bars(plan: DataFrame, shop: DataFrame, key: str) -> DataFrame:
         F.min(F.when(F.col("spacing").isNotNull(), F.struct("pos", "spacing"))).alias("spacing1"), F.min(bar).alias("s1"),
     )
     counted = met.where(F.col("qty").isNotNull()).withColumn("same", F.coalesce(F.col("size") == p("size"), F.lit(False)))
-    six = top_per_key(counted, by, [F.desc("same"), F.asc("pos")], MAX_SUMMED)
-    listed = six.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("rn", "same", "qty"))).alias("qs"), F.bool_or("same").alias("any_same")
-    )
-    usable = F.transform(F.filter("qs", lambda q: q["same"] | ~F.col("any_same")), lambda q: q["qty"])
+    # equal counts are added up before they are listed, so a list has at most the distinct counts
+    per_qty = counted.groupBy(*by, "same", "qty").agg(F.count(F.lit(1)).alias("n"))
+    listed = per_qty.groupBy(*by).agg(F.collect_list(F.struct("same", F.col("qty").cast("int").alias("qty"), "n")).alias("qs"), F.bool_or("same").alias("any_same"))
+    usable = F.filter("qs", lambda q: q["same"] | ~F.col("any_same"))
     joined = first.join(facts, by, "left").join(listed.select(*by, usable.alias("qs")), by, "left")
     has = F.col("s1").isNotNull()
     size_gap = has & p("size").isNotNull() & F.col("size1").isNotNull() & ~F.coalesce("size_met", F.lit(False))
-    qty_gap = has & (F.col("role") != "LIG") & p("qty").isNotNull() & (F.size("qs") > 0) & ~F.array_contains(subset_sums(F.col("qs")), p("qty"))
+    qty_gap = has & (F.col("role") != "LIG") & p("qty").isNotNull() & (F.size("qs") > 0) & ~F.array_contains(subset_sums(F.col("qs"), p("qty").cast("int")), p("qty").cast("int"))
     spacing_gap = has & p("spacing").isNotNull() & F.col("spacing1").isNotNull() & ~F.coalesce("spacing_met", F.lit(False))
     length_gap = has & (F.abs(p("length") - F.col("s1.length")) > LENGTH_TOL)
     gap = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), F.array(F.lit(name))).otherwise(_empty())
@@ -64,7 +72,7 @@ def compare_bars(plan: DataFrame, shop: DataFrame, key: str) -> DataFrame:
     return joined.select(*by, gaps.alias("gaps"), (~has).alias("absent"))
 
 
-def greedy_assign(plans: DataFrame, options: DataFrame, rounds: int = 1000) -> DataFrame:
+def greedy_assign(plans: DataFrame, options: DataFrame) -> DataFrame:
     """Exact result of taking plans in order, each with its best free option.
 
     ``plans`` (grp, cls, pid, pos): order ``pos`` inside an independent group, ``cls`` a class of plans with
@@ -72,13 +80,16 @@ def greedy_assign(plans: DataFrame, options: DataFrame, rounds: int = 1000) -> D
 
     In a round the r-th waiting plan of a class proposes to the r-th free option of the class. As long as
     no two plans want the same option these proposals are what the ordered loop would choose, so each group
-    keeps them up to its first clash (the later plan of the clashing pair) and goes on from there.
+    keeps them up to its first clash (the later plan of the clashing pair) and goes on from there. Every round
+    settles the first waiting plan of each group at least, so the work ends; the loop is serial by nature and its
+    rounds are logged.
     """
     by = ["grp", "cls"]
     waiting = cut_lineage(plans)
     free = cut_lineage(options)
     taken: list[DataFrame] = []
-    for _ in range(rounds):
+    while True:
+        log.info("assignment round %d", len(taken) + 1)
         sizes = waiting.groupBy(*by).agg(F.count(F.lit(1)).alias("need"))
         wanted = free.join(sizes, by)
         ranked = running_sum_in_chunks(wanted, by, ["cost", "spos"], F.struct("cost", F.floor(F.col("spos") / BLOCK)), F.lit(1), "r")
@@ -99,23 +110,23 @@ def greedy_assign(plans: DataFrame, options: DataFrame, rounds: int = 1000) -> D
         waiting = rest
         open_classes = waiting.select(*by).distinct()
         free = cut_lineage(free.join(open_classes, by, "left_semi").join(taken[-1].select("grp", "sid"), ["grp", "sid"], "left_anti"))
-    else:
-        raise RuntimeError("assignment did not finish within the allowed rounds")
     out = taken[0]
     for part in taken[1:]:
         out = out.unionByName(part)
     return out
 
 
-def greedy_edges(edges: DataFrame, order: list[str], rounds: int = 1000) -> DataFrame:
+def greedy_edges(edges: DataFrame, order: list[str]) -> DataFrame:
     """Exact result of taking edges (a, b, ...) by ``order``, each when both ends are free.
 
     An edge that is first at both its ends is taken by the loop whatever happens elsewhere; all such
-    edges are taken at once, their ends leave, and the rest goes on.
+    edges are taken at once, their ends leave, and the rest goes on. The smallest edge left is always taken, so the
+    work ends; the rounds are logged.
     """
     left = cut_lineage(edges.withColumn("_k", F.struct(*order, "a", "b")))
     taken: list[DataFrame] = []
-    for _ in range(rounds):
+    while True:
+        log.info("pairing round %d", len(taken) + 1)
         at_a = left.groupBy("a").agg(F.min("_k").alias("_ka"))
         at_b = left.groupBy("b").agg(F.min("_k").alias("_kb"))
         won = cut_lineage(left.join(at_a, "a").join(at_b, "b").where((F.col("_k") == F.col("_ka")) & (F.col("_k") == F.col("_kb"))).drop("_ka", "_kb"))
@@ -123,8 +134,6 @@ def greedy_edges(edges: DataFrame, order: list[str], rounds: int = 1000) -> Data
             break
         taken.append(won)
         left = cut_lineage(left.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"))
-    else:
-        raise RuntimeError("pairing did not finish within the allowed rounds")
     out = None
     for part in taken:
         out = part if out is None else out.unionByName(part)

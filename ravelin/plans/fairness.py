@@ -280,7 +280,7 @@ def auc_and_accuracy(t: Tables) -> DataFrame:
     return fair.auc(rows, "n_chars", "quality").select(F.round("auc", 6).alias("auc")).join(F.broadcast(stats))
 
 
-CUTS = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
+CUTS = fair.poisson_steps()
 
 
 @query(

@@ -158,10 +158,11 @@ BARS_SQL = """b AS (SELECT l_orderkey AS key, l_returnflag AS side, CASE WHEN l_
     m AS (SELECT p.key, p.role, p.size AS ps, p.qty AS pq, p.spacing AS psp, p.length AS pl, s.pos, s.size, s.qty, s.spacing, s.length FROM p JOIN b s ON s.key = p.key AND s.role = p.role AND s.side = 'R'),
     f AS (SELECT key, role, any_value(ps) AS ps, any_value(pq) AS pq, any_value(psp) AS psp, any_value(pl) AS pl, bool_or(size = ps) AS size_met, bool_or(abs(spacing - psp) <= 5) AS sp_met,
       arg_min(length, (pos, size, qty, spacing, length)) AS l1 FROM m GROUP BY ALL),
-    q AS (SELECT *, row_number() OVER (PARTITION BY key, role ORDER BY (size = ps) DESC, pos) AS rn, bool_or(size = ps) OVER (PARTITION BY key, role) AS anys FROM m),
-    u AS (SELECT key, role, list(qty) AS qs FROM q WHERE rn <= 6 AND (size = ps OR NOT anys) GROUP BY ALL),
-    k AS (SELECT unnest(range(1, 64)) AS mask),
-    ss AS (SELECT DISTINCT key, role, list_sum(list_filter(qs, lambda v, i: (mask >> (i - 1)::INT) & 1 = 1)) AS total FROM u, k WHERE mask < (1 << len(qs)))
+    q AS (SELECT *, coalesce(bool_or(size = ps) OVER (PARTITION BY key, role), FALSE) AS anys FROM m WHERE qty IS NOT NULL),
+    u AS (SELECT key, role, pq, qty, row_number() OVER (PARTITION BY key, role ORDER BY pos, qty) AS i FROM q WHERE coalesce(size = ps, FALSE) OR NOT anys),
+    ss AS (SELECT key, role, total FROM (WITH RECURSIVE r AS (SELECT DISTINCT key, role, 0::BIGINT AS i, 0::BIGINT AS total FROM u
+        UNION SELECT r.key, r.role, u.i, r.total + CASE WHEN take = 1 THEN u.qty ELSE 0 END FROM r JOIN u ON u.key = r.key AND u.role = r.role AND u.i = r.i + 1, (VALUES (0), (1)) v(take)
+        WHERE r.total + CASE WHEN take = 1 THEN u.qty ELSE 0 END <= u.pq) SELECT DISTINCT key, role, total FROM r WHERE total > 0))
     SELECT p.key, p.role, array_to_string(list_filter([CASE WHEN NOT f.size_met THEN 'size' END,
         CASE WHEN p.role <> 'LIG' AND f.key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ss WHERE ss.key = p.key AND ss.role = p.role AND ss.total = p.qty) THEN 'quantity' END,
         CASE WHEN NOT f.sp_met THEN 'spacing' END, CASE WHEN abs(f.pl - f.l1) > 25 THEN 'length' END], lambda x: x IS NOT NULL), ',') AS gaps, (f.key IS NULL)::INT AS absent
@@ -206,7 +207,7 @@ def gap_extras(t: Tables) -> DataFrame:
 
 @query(
     "joi33_views_of_both_sides",
-    """WITH v AS (SELECT l_returnflag AS side, l_partkey AS beam, l_suppkey AS view, count(*) AS bars, max((l_discount > 0.08)::INT) AS lig FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity > 44 GROUP BY ALL),
+    """WITH v AS (SELECT l_returnflag AS side, l_partkey AS beam, l_suppkey AS view, count(*) AS bars, max((l_discount > 0.08)::INT) AS lig FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
     g AS (SELECT side, beam, sum(lig) AS n_lig, sum(CASE WHEN lig = 1 THEN bars END) AS lig_bars, max(bars) AS best FROM v GROUP BY ALL),
     c AS (SELECT side, beam, CASE WHEN n_lig > 0 THEN n_lig ELSE 1 END::BIGINT AS views, CASE WHEN n_lig > 0 THEN lig_bars ELSE best END::BIGINT AS bars FROM g)
     SELECT coalesce(p.beam, s.beam) AS beam, p.views AS plan_views, p.bars AS plan_bars, s.views AS shop_views, s.bars AS shop_bars,
@@ -214,7 +215,7 @@ def gap_extras(t: Tables) -> DataFrame:
 )
 def both_views(t: Tables) -> DataFrame:
     zone = F.when(F.col("l_discount") > 0.08, "LIG").otherwise("LONG")
-    side = lambda flag: t.lineitem.where((F.col("l_returnflag") == flag) & (F.col("l_quantity") > 44)).select(
+    side = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).select(
         F.col("l_partkey").alias("beam"), F.col("l_suppkey").alias("view"), zone.alias("zone")
     )
     return rec.merge_views(side("A"), side("R")).select("beam", "plan_views", "plan_bars", "shop_views", "shop_bars", "side")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import bars, plugins
 from ravelin.operators import corpus
+from ravelin.operators.ordering import top_per_key
 from ravelin.plans import corpus as bound
 from ravelin.plans.registry import query
 from ravelin.plans.text import REFERENCES_SQL, with_references
@@ -96,7 +97,8 @@ def checked_lots(t: Tables) -> DataFrame:
     out, state = scratch(t.spark, "lots"), scratch(t.spark, "lots-state")
     schema = t.events.schema
     events.monitor_stream(t.spark, t.root, "events.parquet", schema, out, state, "ts", "1 day", "2 hours", 40.0, 60.0)
-    rows = t.spark.read.parquet(f"{out}/batch=0")
+    # every batch that touched a lot wrote it again; the last one counts
+    rows = top_per_key(t.spark.read.parquet(out), ["lot", "event_type"], [F.desc("batch")])
     return rows.select(F.date_format("lot.start", "yyyy-MM-dd").alias("lot"), "event_type", "n", F.round("total", 2).alias("total"), "published")
 
 
@@ -125,13 +127,13 @@ def _extractor(kind: str, plan: str, shop: str):
     return extract
 
 
-EXTRACTORS = {"beam": _extractor("beam", "ECONOMY", "SMALL"), "wall": _extractor("wall", "LARGE", "STANDARD")}
+EXTRACTORS = {"beam": _extractor("beam", "ECONOMY", "SMALL"), "wall": _extractor("wall", "LARGE", "STANDARD"), "slab": _extractor("slab", "MEDIUM", "PROMO")}
 
 
 @query(
     "udf03_extractor_registry",
-    """SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN 'plan' ELSE 'shop' END AS side, p_size AS qty, CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'beam' ELSE 'wall' END AS element_type
-    FROM part WHERE p_type IN ('ECONOMY', 'SMALL', 'LARGE', 'STANDARD')""",
+    """SELECT p_partkey, CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'MEDIUM') THEN 'plan' ELSE 'shop' END AS side, p_size AS qty,
+      CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'beam' WHEN p_type IN ('LARGE', 'STANDARD') THEN 'wall' ELSE 'slab' END AS element_type FROM part""",
 )
 def extractors(t: Tables) -> DataFrame:
     return plugins.run_extractors(t.part, EXTRACTORS)

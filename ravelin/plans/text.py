@@ -332,9 +332,9 @@ def entities(t: Tables) -> DataFrame:
 @query(
     "txt16_locator_parsing",
     """WITH d AS (SELECT doc_id, doc_id % 50 + 1 AS a, doc_id % 50 + 1 + n_chars % 90 AS z FROM documents)
-    SELECT doc_id, array_to_string(CASE WHEN doc_id % 3 = 0 THEN range(a, least(z, a + 60) + 1) WHEN doc_id % 3 = 1 THEN [a] ELSE [] END, ',') AS lines,
-      CASE WHEN doc_id % 3 = 0 THEN '14:05' ELSE '' END AS times, CASE WHEN doc_id % 3 = 1 THEN a::VARCHAR ELSE '' END AS pages,
-      CASE WHEN doc_id % 3 = 2 THEN array_to_string(range(a, a + 3), ',') ELSE '' END AS paragraphs,
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN a || '-' || z WHEN doc_id % 3 = 1 THEN a || '-' || a ELSE '' END AS lines,
+      CASE WHEN doc_id % 3 = 0 THEN '14:05' ELSE '' END AS times, CASE WHEN doc_id % 3 = 1 THEN a || '-' || a ELSE '' END AS pages,
+      CASE WHEN doc_id % 3 = 2 THEN a || '-' || (a + 2) ELSE '' END AS paragraphs,
       (doc_id % 3 = 2)::INT AS header FROM d""",
 )
 def locators(t: Tables) -> DataFrame:
@@ -347,8 +347,8 @@ def locators(t: Tables) -> DataFrame:
         .otherwise(F.concat(F.lit("en-tête §"), s(a), F.lit("-"), s(a + 2)))
     )
     rows = t.documents.withColumn("p", text.parse_locator(locator, F.lit(False)))
-    join = lambda c: F.array_join(F.transform(F.col(f"p.{c}"), lambda v: v.cast("string")), ",").alias(c)
-    return rows.select("doc_id", *[join(c) for c in ("lines", "times", "pages", "paragraphs")], F.col("p.header").cast("int").alias("header"))
+    join = lambda c: F.array_join(F.transform(F.col(f"p.{c}"), lambda v: F.concat_ws("-", v["first"].cast("string"), v["last"].cast("string"))), ",").alias(c)
+    return rows.select("doc_id", *[join(c) for c in ("lines", "pages", "paragraphs")], F.array_join("p.times", ",").alias("times"), F.col("p.header").cast("int").alias("header"))
 
 
 @query(
@@ -371,7 +371,7 @@ def owners(t: Tables) -> DataFrame:
 @query(
     "txt18_natural_sort_key",
     r"""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_brand || '-' || p_size || p_type, '\d+|\D+'),
-      lambda r: CASE WHEN regexp_matches(r, '^\d') THEN lpad(r, 12, '0') ELSE r END), '') AS sort_key FROM part""",
+      lambda r: CASE WHEN regexp_matches(r, '^\d') THEN lpad(length(coalesce(nullif(ltrim(r, '0'), ''), '0'))::VARCHAR, 10, '0') || coalesce(nullif(ltrim(r, '0'), ''), '0') ELSE r END), '') AS sort_key FROM part""",
 )
 def natural_keys(t: Tables) -> DataFrame:
     label = F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string"), F.col("p_type"))

@@ -20,6 +20,8 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("RAVELIN_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ravelin.localSpread", str(partitions))
+        .config("spark.checkpoint.dir", os.environ.get("RAVELIN_CHECKPOINT_DIR", os.path.join(tempfile.gettempdir(), "ravelin-checkpoints")))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

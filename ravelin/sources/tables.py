@@ -9,13 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 HEAVY = {"documents", "pages", "embeddings"}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files give fewer splits than there are cores.
-
-    Large inputs have many more splits than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Tasks over which a local session deals the heavy tables, whose test files are one row group each. Unset on a cluster: files are read as they are.
+SPREAD_KEY = "spark.ravelin.localSpread"
 
 
 class Tables:
@@ -32,4 +27,5 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(self.path(name))
-        return spread(df) if name in HEAVY else df
+        tasks = self.spark.conf.get(SPREAD_KEY, None)
+        return df.repartition(int(tasks)) if tasks and name in HEAVY else df

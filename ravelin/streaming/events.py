@@ -131,11 +131,15 @@ def monitor_stream(
     spark: SparkSession, folder: str, glob: str, schema: T.StructType, out: str, checkpoint: str, at: str, window: str,
     delay: str, low: float, high: float,
 ) -> None:
-    """Tumbling lots over a file stream; late rows up to ``delay`` still count; each lot is checked before it is written."""
+    """Tumbling lots over a file stream; late rows up to ``delay`` still count; each lot is checked before it is written.
+
+    A trigger writes the lots it changed to ``batch=<n>``; the last batch of a lot holds its state. Lots older than the
+    watermark leave the state store.
+    """
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
     timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
     query = (
-        lot_stats(timed, at, window, "event_type").writeStream.outputMode("complete")
+        lot_stats(timed, at, window, "event_type").writeStream.outputMode("update")
         .foreachBatch(lambda df, n: check_lot(df, low, high).write.mode("overwrite").parquet(f"{out}/batch={n}"))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -52,3 +52,11 @@ def test_exact_quantiles(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     edges = ordering.exact_quantiles(df, "v", [0.25, 0.5, 0.75]).first().edges
     assert [round(e, 9) for e in edges] == [round(q, 9) for q in statistics.quantiles(values, n=4, method="inclusive")]
+
+
+def test_nulls_are_ranked_last(spark):
+    rows = spark.createDataFrame([(i, float(i % 7) if i % 5 else None) for i in range(200)], "id long, score double")
+    got = {r.id: r.rank for r in ordering.global_rank(rows, "score", F.col("id")).collect()}
+    digest = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    want = sorted(got, key=lambda i: (i % 5 == 0, -(i % 7) if i % 5 else 0, digest(i)))
+    assert [got[i] for i in want] == list(range(1, 201))

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ravelin.operators import corpus, reconcile as rec
@@ -74,8 +75,10 @@ def test_align_spacing_equals_the_loop(spark):
 
 
 def test_subset_sums(spark):
-    df = spark.range(1).select(rec.subset_sums(F.array(*[F.lit(v) for v in (3, 5, 7)])).alias("s"))
-    assert sorted(df.first().s) == [3, 5, 7, 8, 10, 12, 15]
+    counts = lambda *pairs: F.array(*[F.struct(F.lit(q).alias("qty"), F.lit(n).alias("n")) for q, n in pairs])
+    sums = lambda most, *pairs: sorted(spark.range(1).select(rec.subset_sums(counts(*pairs), F.lit(most)).alias("s")).first().s)
+    assert sums(20, (3, 1), (5, 1), (7, 1)) == [3, 5, 7, 8, 10, 12, 15]
+    assert sums(9, (3, 8), (50, 2), (0, 1)) == [3, 6, 9] and sums(16, (2, 8)) == [2, 4, 6, 8, 10, 12, 14, 16]
 
 
 def test_connected_groups_and_roots(spark):
@@ -84,6 +87,8 @@ def test_connected_groups_and_roots(spark):
     assert got == {**dict.fromkeys([1, 2, 3, 10, 11, 12, 13], 1), 20: 20, 21: 20}
     chain = spark.createDataFrame([(i + 1, i) for i in range(50)], "c long, p long")
     assert {r.root for r in corpus.roots(chain, "c", "p").collect()} == {0}
+    with pytest.raises(ValueError, match="cycle"):
+        corpus.roots(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8)], "c long, p long"), "c", "p")
 
 
 def test_copies_of_a_text_and_of_a_source(spark):
@@ -155,3 +160,12 @@ def test_corpus_events_give_the_counters_of_the_whole(spark):
     assert last == {tuple(r) for r in corpus.counters(bound.statements(t)).select(*keep).collect()}
     assert store.read("pairs", 2).groupBy("a", "b").count().where("count > 1").isEmpty()
     assert store.read("snapshots", 0).count() > 0 and store.read("diffs", 1).count() > 0
+
+
+def test_short_quotes_are_found(spark):
+    from ravelin.operators import search
+
+    quotes = spark.createDataFrame([(1, "Budget"), (2, "le plan"), (3, "absent"), (4, "a b c d e f g h"), (5, "")], "quote_id int, quote string")
+    rows = spark.createDataFrame([(10, "Le budget révisé et le planning"), (11, "sous-budgets"), (12, "x a b c d e f g h y")], "id int, text string")
+    got = {(r.quote_id, r.id) for r in search.find_quotes(quotes, rows).collect()}
+    assert got == {(1, 10), (1, 11), (2, 10), (4, 12)}
