@@ -7,7 +7,7 @@ Steps, none of which moves texts between tasks:
 
 1. one scan gives per row the number of distinct shingles, a fingerprint of the shingle set and the band keys;
 2. rows of equal sets form a class (similarity 1); only classes go on;
-3. every band bucket links each class to its smallest class (a star, never all pairs); links are confirmed on the full sets, which a
+3. every band bucket links each class to its hub, the class with the largest buckets in all (a star, never all pairs); links are confirmed on the full sets, which a
    second scan makes for the classes that are in such a link;
 4. components of the confirmed links. A bucket that still holds several components may hide a link between classes that are both no star
    centre. For the classes of such buckets, pairs of different components are found by a join on the rarest shingles of their sets, under
@@ -164,12 +164,17 @@ def link_classes(docs: DataFrame, text: str, classes: DataFrame, size: int, perc
     """(node, root) over classes that have a confirmed link to another class."""
     similar_size = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     rows = classes.where("n > 0").select(F.explode("bands").alias("key"), "cls", "n")
-    hubs = rows.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("key", "hub")
-    buckets = written(rows.join(hubs, "key"), "buckets")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rows = written(rows.join(shared, "key"), "rows")
+    # the centre of a family is in most of its buckets: the class with the largest buckets in all is the best hub
+    weight = rows.groupBy("cls").agg(F.sum("size").alias("weight"))
+    weighed = written(rows.join(weight, "cls").select("key", "cls", "n", "weight"), "weighed")
+    best = F.max(F.struct("weight", (-F.col("cls")).alias("cls"), "n"))
+    hubs = weighed.groupBy("key").agg(best.alias("h")).select("key", (-F.col("h.cls")).alias("hub"), F.col("h.n").alias("hub_n"))
+    buckets = written(weighed.join(hubs, "key").select("key", "cls", "n", "hub", "hub_n"), "buckets")
     # one row per key in hubs, many in rows: the pairs are as many as the bucket rows
-    star = buckets.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("n").alias("n_b")).distinct()
-    sizes = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"))
-    star = written(star.join(sizes, "a").where(similar_size(F.col("n_a"), F.col("n_b"))).select("a", "b"), "star")
+    star = buckets.where((F.col("cls") != F.col("hub")) & similar_size(F.col("n"), F.col("hub_n")))
+    star = written(star.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "star")
     named = buckets.select("cls").distinct()
     wanted = classes.join(named, "cls", "left_semi").select("text_hash", "fp1", "fp2", "cls", "n")
     sets = written(shingle_sets(docs, text, size, wanted), "sets")
