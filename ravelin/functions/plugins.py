@@ -13,20 +13,19 @@ from pyspark.sql import functions as F
 from ravelin.functions import passages
 from ravelin.functions.answers import ANSWER_TYPE, build_answer
 
-# Words that point to a subject, in order of precedence.
+#: Default lexicon of the engine: subject and the words that point to it, in order of precedence. A parameter of ``ask``.
 LEXICON = {
-    "security": r"sécurité|audit|journalisation", "accessibility": r"accessibilit|clavier|contraste",
-    "data_quality": r"doublon|idempotence", "vendor_contract": r"budget|plafond|montant", "operations_runbook": r"runbook|rollback",
-    "go_live_date": r"\d{1,2} octobre",
+    "oversight": r"\baudit\w*|\bcontr[oô]le\w*", "money": r"\bbudget\w*|\bfacture\w*", "service": r"\brunbook\w*|\bconnecteur\w*",
+    "reach": r"\bmobile\b|\bacc[eè]s\w*", "records": r"\bdoublon\w*|\barchive\w*",
 }
 
 Engine = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def lexicon_answer(text: Column) -> Column:
+def lexicon_answer(text: Column, lexicon: dict[str, str] | None = None) -> Column:
     """Default engine as columns: first subject of the lexicon, with the share of hits as its probability."""
     low = F.lower(text)
-    counts = F.array(*[F.struct(F.lit(s).alias("s"), F.size(F.regexp_extract_all(low, F.lit(p), F.lit(0))).alias("n")) for s, p in LEXICON.items()])
+    counts = F.array(*[F.struct(F.lit(s).alias("s"), F.size(F.regexp_extract_all(low, F.lit(p), F.lit(0))).alias("n")) for s, p in (lexicon or LEXICON).items()])
     hits = F.filter(counts, lambda c: c["n"] > 0)
     total = F.aggregate(hits, F.lit(0), lambda t, c: t + c["n"])
     found = F.map_from_entries(F.transform(hits, lambda c: F.struct(c["s"], c["n"] / total)))
@@ -34,10 +33,10 @@ def lexicon_answer(text: Column) -> Column:
     return build_answer(F.lit("choice"), F.coalesce(F.get(hits, 0)["s"], F.lit("noise")), probabilities, "lexicon")
 
 
-def ask(df: DataFrame, engine: Engine | None = None, identifier: str = "id", text: str = "text") -> DataFrame:
+def ask(df: DataFrame, engine: Engine | None = None, identifier: str = "id", text: str = "text", lexicon: dict[str, str] | None = None) -> DataFrame:
     """Typed answer per row, by the lexicon or by an engine that maps pandas batches to (id, answer as JSON)."""
     if engine is None:
-        return df.select(identifier, lexicon_answer(F.col(text)).alias("answer"))
+        return df.select(identifier, lexicon_answer(F.col(text), lexicon).alias("answer"))
     kind = df.schema[identifier].dataType.simpleString()
     raw = df.select(identifier, text).mapInPandas(engine, f"{identifier} {kind}, answer string")
     return raw.withColumn("answer", F.from_json("answer", ANSWER_TYPE))
