@@ -173,9 +173,17 @@ def bar_comparison(t: Tables) -> DataFrame:
     return out.select("key", "role", F.array_join("gaps", ",").alias("gaps"), F.col("absent").cast("int").alias("absent"))
 
 
-@query("joi27_spacing_alignment")
+@query(
+    "joi27_spacing_alignment",
+    f"""WITH {BARS_SQL}, d AS (SELECT side, key, size, round_even(spacing / 5, 0)::BIGINT AS step, min(pos) AS pos, arg_min(spacing, (pos, spacing)) AS spacing FROM b GROUP BY ALL),
+    j AS (SELECT p.key, p.pos AS p, p.size AS p_size, p.spacing AS p_sp, s.pos AS s, s.size AS s_size, s.spacing AS s_sp FROM d p JOIN d s ON s.key = p.key AND p.side = 'A' AND s.side = 'R'),
+    h AS (SELECT key, s, min(p) AS p FROM j WHERE p_size = s_size AND abs(p_sp - s_sp) <= 5 GROUP BY ALL),
+    a AS (SELECT key, p, arg_min(s, (p_size <> s_size, abs(p_sp - s_sp), s)) AS s FROM j WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.key = j.key AND h.p = j.p) GROUP BY ALL),
+    f AS (SELECT key, s, p, 'match' AS how FROM h UNION ALL SELECT key, s, p, 'closest' FROM a)
+    SELECT * FROM f UNION ALL SELECT key, s, arg_min(p, (abs(p_sp - s_sp), p)), 'rest' FROM j WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.key = j.key AND f.s = j.s) GROUP BY key, s""",
+)
 def spacing_alignment(t: Tables) -> DataFrame:
-    """Distinct bars of both sides aligned per order; checked against a plain loop in the tests."""
+    """Distinct bars of both sides aligned per order."""
     plan = rec.distinct_by_frequency(_bars(t, "A"), ["key"])
     shop = rec.distinct_by_frequency(_bars(t, "R"), ["key"])
     return rec.align_spacing(plan, shop, ["key"])
