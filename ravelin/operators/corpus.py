@@ -44,6 +44,11 @@ GUARDS = [("R2", "proposal", ("decision", "approval")), ("R3", "delivery", ("fin
 # ---- duplicates -------------------------------------------------------------------------------
 
 
+def text_length(passages: DataFrame) -> Column:
+    """Length of the text: a narrow table carries it as ``n_text`` in place of the text."""
+    return F.col("n_text") if "n_text" in passages.columns else F.length("text")
+
+
 def source_copies(passages: DataFrame, source: str, path: str, suffix: str, digest: str) -> DataFrame:
     """Sources whose passages are the same set of (suffix, hash): each copy with the first source by path.
 
@@ -71,7 +76,7 @@ def text_copies(passages: DataFrame, min_length: int = MIN_COPY_LENGTH) -> DataF
     The canonical passage of a text is the first by (not an attachment, path, id); it is found
     by a map-side minimum, so a text repeated everywhere costs one row per task.
     """
-    long = passages.where(F.length("text") >= min_length)
+    long = passages.where(text_length(passages) >= min_length).select("id", "source_id", "attachment_of", "path", "sha256")
     order = F.struct(F.col("attachment_of").isNotNull().alias("att"), "path", "id", "source_id", "attachment_of")
     canonical = long.groupBy("sha256").agg(F.min(order).alias("_c"))
     other = ~(F.col("_c.source_id").eqNullSafe(F.col("source_id")) & F.col("_c.attachment_of").eqNullSafe(F.col("attachment_of")))
@@ -145,7 +150,7 @@ def pair_statements(passages: DataFrame) -> DataFrame:
     """Passages that may enter a pair: no copies, no noise, some authority, long enough."""
     return passages.where(
         F.col("duplicate_of").isNull() & (F.col("subject") != "noise") & (F.col("nature") != "noise")
-        & (F.col("authority") >= 1) & (F.length("text") >= MIN_STATEMENT_LENGTH)
+        & (F.col("authority") >= 1) & (text_length(passages) >= MIN_STATEMENT_LENGTH)
     )
 
 
@@ -257,11 +262,11 @@ def subject_statements(passages: DataFrame) -> DataFrame:
     )
 
 
-def rank_order() -> list[Column]:
+def rank_order(statements: DataFrame) -> list[Column]:
     """Decided before proposed, then authority, day, nature, length, kind, time stamp."""
     return [
         (F.col("nature") != "proposal").desc(), F.desc("authority"), F.substring(F.coalesce("date", F.lit("")), 1, 10).desc(),
-        lookup(STATE_NATURE_RANK, F.col("nature"), 0).desc(), F.length("text").desc(),
+        lookup(STATE_NATURE_RANK, F.col("nature"), 0).desc(), text_length(statements).desc(),
         lookup(KIND_RANK, F.col("kind"), 0).desc(), F.coalesce("date", F.lit("")).desc(), F.asc("id"),
     ]
 
@@ -269,7 +274,7 @@ def rank_order() -> list[Column]:
 def current(statements: DataFrame, replaced: DataFrame) -> DataFrame:
     """Current statement of each subject."""
     live = statements.join(replaced.select("id").distinct(), "id", "left_anti")
-    return top_per_key(live, ["subject"], rank_order()).drop("rn")
+    return top_per_key(live, ["subject"], rank_order(live)).drop("rn")
 
 
 def supporting(statements: DataFrame, replaced: DataFrame, k: int = SUPPORTING) -> DataFrame:
@@ -279,8 +284,8 @@ def supporting(statements: DataFrame, replaced: DataFrame, k: int = SUPPORTING)
     number of rows per key before it is shuffled.
     """
     live = statements.join(replaced.select("id").distinct(), "id", "left_anti")
-    per_source = top_per_key(live, ["subject", "source_id"], rank_order()).drop("rn")
-    best = top_per_key(per_source, ["subject"], rank_order(), k + 1, "position")
+    per_source = top_per_key(live, ["subject", "source_id"], rank_order(live)).drop("rn")
+    best = top_per_key(per_source, ["subject"], rank_order(live), k + 1, "position")
     decided = F.max((F.col("nature") != "proposal").cast("int")).over(W.partitionBy("subject"))
     kept = best.withColumn("_decided", decided).where((F.col("_decided") == 0) | (F.col("nature") != "proposal"))
     return kept.where(F.col("position") > 1).withColumn("position", F.col("position") - 1).drop("_decided")

@@ -25,8 +25,8 @@ def _pick(values: list[str], at) -> "F.Column":
     return F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
 
 
-def statements(t: Tables) -> DataFrame:
-    """Documents as decided passages, with copies marked."""
+def passage_rows(t: Tables) -> DataFrame:
+    """Documents as decided passages with their texts."""
     n, d = F.col("n_chars"), F.col("doc_id")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     rows = t.documents.select(
@@ -38,6 +38,19 @@ def statements(t: Tables) -> DataFrame:
         ((n % 10) / 10).alias("flags_risk"), ((d % 10) / 10).alias("has_deadline"),
         with_references(F.col("text"), d).alias("text"), text.content_hash(F.col("text")).alias("sha256"),
     )
+    return rows
+
+
+def narrow_rows(t: Tables) -> DataFrame:
+    """Decided passages with the length and hash of the text in place of the text; written once per run of a query."""
+    if "narrow" not in t.__dict__:
+        t.narrow = cut_lineage(passage_rows(t).withColumn("n_text", F.length("text")).drop("text"))
+    return t.narrow
+
+
+def statements(t: Tables, sources=None) -> DataFrame:
+    """Narrow passages, of some sources if a condition is given, with copies marked."""
+    rows = narrow_rows(t) if sources is None else narrow_rows(t).where(sources)
     return rows.join(corpus.text_copies(rows), "id", "left")
 
 
@@ -46,13 +59,14 @@ def with_entities(rows: DataFrame) -> DataFrame:
     return rows.withColumn("found", F.filter(found, lambda e: e != "owner")).drop("text")
 
 
-def strong(t: Tables) -> DataFrame:
-    """Strongest statements with entities: one row per subject and source, read by every pair builder, so written once."""
-    return cut_lineage(_strong_rows(t))
+def strong(t: Tables, sources=None) -> DataFrame:
+    """Strongest statements with entities: one row per subject and source, read by every pair builder, so written once.
 
-
-def _strong_rows(t: Tables) -> DataFrame:
-    return with_entities(corpus.strongest_per_source(corpus.pair_statements(statements(t))))
+    Texts are read for these rows only.
+    """
+    rows = cut_lineage(corpus.strongest_per_source(corpus.pair_statements(statements(t, sources))))
+    texts = t.documents.select(F.col("doc_id").alias("id"), with_references(F.col("text"), F.col("doc_id")).alias("text"))
+    return cut_lineage(with_entities(rows.join(texts, "id")))
 
 
 def judged(pairs: DataFrame) -> DataFrame:
@@ -235,20 +249,13 @@ def cross_subject(t: Tables) -> DataFrame:
     SELECT a, b, subject FROM cand WHERE (a, b) NOT IN (SELECT (a, b) FROM cand_old)""",
 )
 def fresh(t: Tables) -> DataFrame:
-    known = corpus.candidate_pairs(_old_strong(t))
+    known = corpus.candidate_pairs(strong(t, before()))
     return corpus.fresh_pairs(corpus.candidate_pairs(strong(t)), known)
 
 
-class _Before(Tables):
-    """The same tables without the newest source."""
-
-    @property
-    def documents(self) -> DataFrame:
-        return Tables(self.spark, self.root).documents.where(F.col("source") != NEW_SOURCE)
-
-
-def _old_strong(t: Tables) -> DataFrame:
-    return strong(_Before(t.spark, t.root))
+def before():
+    """Condition on the sources before the newest one came."""
+    return F.col("source_id") != NEW_SOURCE
 
 
 @query("joi16_supersession_guards", f"{STATE_SQL} SELECT a, b, subject, rule FROM sup")
@@ -346,9 +353,9 @@ def _snapshot_sql(st: str, p: str) -> str:
       OR d_superseded <> 0 OR d_contradictions <> 0""",
 )
 def state_diff(t: Tables) -> DataFrame:
-    def snap(tables: Tables) -> DataFrame:
-        rows = strong(tables)
-        return corpus.snapshot(statements(tables), judged(corpus.candidate_pairs(rows)), rows)
+    def snap(sources=None) -> DataFrame:
+        rows = strong(t, sources)
+        return corpus.snapshot(statements(t, sources), judged(corpus.candidate_pairs(rows)), rows)
 
-    diff = corpus.diff_snapshots(snap(_Before(t.spark, t.root)), snap(t))
+    diff = corpus.diff_snapshots(snap(before()), snap())
     return diff.withColumn("current_changed", F.col("current_changed").cast("int"))

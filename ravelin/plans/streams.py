@@ -34,7 +34,7 @@ def corpus_store(t: Tables) -> events.CorpusStore:
 def run_corpus(t: Tables) -> events.CorpusStore:
     """The corpus arrives in a folder as a base and two events, each run taking the files that wait."""
     folder, state = scratch(t.spark, "inbox"), scratch(t.spark, "inbox-state")
-    rows = bound.statements(t).drop("duplicate_of")
+    rows = bound.passage_rows(t)
     late = [s for group in EVENT_GROUPS for s in group]
     steps = [rows.where(~F.col("source_id").isin(late))] + [rows.where(F.col("source_id").isin(g)) for g in EVENT_GROUPS]
     store = corpus_store(t)
