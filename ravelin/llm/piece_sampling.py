@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,8 +39,8 @@ from ravelin.llm.registry import query, table
 
 MODEL = os.environ.get("RAVELIN_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SAMPLES = 2
-#: Larger slices share more segments.
-SLICE_BYTES = 2 << 20
+#: Arrays of a slice take some 400 bytes per byte of text.
+SLICE_BYTES = 256 << 10
 #: Zipf's law: probability of the piece of rank r is proportional to 1 / (r + SHIFT).
 SHIFT = 10
 BLANK = 32
@@ -120,6 +121,12 @@ class Vocabulary:
         return out
 
 
+@lru_cache(maxsize=2)
+def vocabulary_of(model_bytes: bytes) -> Vocabulary:
+    """Built once per worker process."""
+    return Vocabulary(model_bytes)
+
+
 @dataclass
 class Lattice:
     """Edges of all distinct segments, grouped by their first byte: ids (byte fallback: -1), end, probability, log probability."""
@@ -459,7 +466,7 @@ def sample_pieces(docs: DataFrame, key: Column, text: str = "text", k: int = SAM
     arrow_type = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("log_inclusion", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
+        vocabulary = vocabulary_of(shared.value)
         for batch in batches:
             for start, stop, data, offsets in W.text_slices(batch.column(at), SLICE_BYTES):
                 part = batch.slice(start, stop - start)
@@ -487,7 +494,7 @@ def decode_pieces(df: DataFrame, ids: str, out: str = "text", model: str = MODEL
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Vocabulary(shared.value).pieces
+        pieces = vocabulary_of(shared.value).pieces
         for column in batches:
             yield pd.Series([None if x is None else b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace").removeprefix(" ") for x in column], dtype=object)
 

@@ -25,6 +25,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,7 @@ def permuted(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.
     return out.astype(np.int64)
 
 
+@lru_cache(maxsize=2)
 def _encoder(model: bytes):
     import sentencepiece
 
