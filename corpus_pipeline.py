@@ -22,7 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ravelin.llm import decontaminate as leaks  # noqa: E402
 from ravelin.llm import language_mixture, minmax_dedup, piece_sampling, secrets  # noqa: E402
-from ravelin.llm.registry import table  # noqa: E402
+from ravelin.llm.registry import importable, table  # noqa: E402
 from ravelin.llm.storage import written  # noqa: E402
 
 DEDUP_WORDS = 5
@@ -60,6 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
