@@ -223,12 +223,11 @@ def truncated(place: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray
     return np.where(np.isneginf(place), -np.inf, value)
 
 
-class Slice:
-    """The rows of a slice as occurrences of distinct segments."""
+class Segments:
+    """The rows of a slice as occurrences of distinct segments: blanks, then other characters. Every row gets the dummy blank in front."""
 
-    def __init__(self, vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         rows = len(offsets) - 1
-        # every row gets the dummy blank in front
         self.offsets = offsets + np.arange(rows + 1)
         text = np.full(len(data) + rows, BLANK, np.uint8)
         text[np.arange(len(data)) + np.repeat(np.arange(rows), np.diff(offsets)) + 1] = data
@@ -237,18 +236,23 @@ class Slice:
         begins[self.offsets[:-1]] = True
         self.at = np.flatnonzero(begins)
         stop = np.append(self.at[1:], len(text))
-        self.size = stop - self.at
         self.row = np.searchsorted(self.offsets, self.at, "right") - 1
         self.first = np.searchsorted(self.at, self.offsets)
         sums = np.zeros(len(text) + 1, W.U64)
         np.cumsum(W.BYTE_VALUES[text] * W.powers(W.BASE, len(text)), out=sums[1:])
         hashes = W.mix((sums[stop] - sums[self.at]) * W.powers(W.BASE_INVERSE, len(text))[self.at])
-        _, which, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
-        sizes = self.size[which]
+        self.hashes, which, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
+        sizes = (stop - self.at)[which]
         self.limits = np.concatenate([[0], np.cumsum(sizes)])
-        distinct = text[np.arange(self.limits[-1]) + np.repeat(self.at[which] - self.limits[:-1], sizes)]
-        self.distinct = distinct
-        self.lattice = build_lattice(vocabulary, distinct, self.limits)
+        self.distinct = text[np.arange(self.limits[-1]) + np.repeat(self.at[which] - self.limits[:-1], sizes)]
+
+
+class Slice(Segments):
+    """Segments with their lattices and the rows' seeds."""
+
+    def __init__(self, vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray):
+        super().__init__(data, offsets)
+        self.lattice = build_lattice(vocabulary, self.distinct, self.limits)
         self.seeds = seeds
         self.vocabulary = vocabulary
 

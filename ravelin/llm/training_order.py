@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm.piece_sampling import MODEL
+from ravelin.llm import wordhash as W
+from ravelin.llm.piece_sampling import MODEL, Segments
 from ravelin.llm.registry import query, table
 from ravelin.llm.storage import file_system, new_folder, written
 from ravelin.llm.wordhash import U64, mix
@@ -43,8 +45,9 @@ PER_SHARD = 1 << 15
 END, PAD = 2, 0
 KEY = 0x5EED
 ROUNDS = 4
-#: Texts encoded at a time.
-TEXTS = 256
+#: Bytes of text encoded at a time, and segments whose ids a worker keeps.
+SLICE_BYTES = 2 << 20
+KNOWN_SEGMENTS = 600_000
 
 
 def permuted(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -63,25 +66,59 @@ def permuted(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.
     return out.astype(np.int64)
 
 
-@lru_cache(maxsize=2)
-def _encoder(model: bytes):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_proto=model)
+class Encoder:
+    """Ids of texts from the ids of their segments, which no piece crosses; frequent segments are encoded once per worker process."""
+
+    def __init__(self, model: bytes):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any("\u2581" in p.lstrip("\u2581") for p in pieces):
+            raise ValueError("a piece has a blank after another character")
+        self.blank = np.array([self.model.piece_to_id("\u2581")], "<u2").tobytes()
+        self.known: dict[int, bytes] = {}
+
+    def segments(self, hashes: list[int], texts: list[bytes]) -> list[bytes]:
+        """Ids as 16-bit words; every text starts with the blank that the encoder puts in front itself."""
+        known = self.known
+        out = [known.get(h) for h in hashes]
+        missing = [i for i, x in enumerate(out) if x is None]
+        found = self.model.encode([texts[i][1:].decode("utf-8", "replace") for i in missing], num_threads=1)
+        for i, ids in zip(missing, found):
+            out[i] = array("H", ids).tobytes() if texts[i] != b" " else self.blank
+        # frequent segments come early; when the table is full, others are encoded again each time
+        for i in missing[:max(0, KNOWN_SEGMENTS - len(known))]:
+            known[hashes[i]] = out[i]
+        return out
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, ids with end marks one after another, their number per row) of the rows with text."""
+        present = column.is_valid().to_numpy(zero_copy_only=False)
+        for start, stop, data, offsets in W.text_slices(column, SLICE_BYTES):
+            s = Segments(data, offsets)
+            raw, limits = s.distinct.tobytes(), s.limits.tolist()
+            parts = self.segments(s.hashes.tolist(), [raw[a:b] for a, b in zip(limits[:-1], limits[1:])])
+            sizes = np.array([len(x) // 2 for x in parts])
+            flat = np.frombuffer(b"".join(parts), "<u2")
+            each = sizes[s.kind]
+            # the dummy blank alone, before an empty text, gives no ids
+            empty = np.diff(offsets) == 0
+            each[empty[s.row]] = 0
+            rows = np.flatnonzero(present[start:stop])
+            rank = np.cumsum(present[start:stop]) - 1
+            counts = np.bincount(s.row, weights=each, minlength=stop - start).astype(np.int64)[rows] + 1
+            ids = np.full(int(counts.sum()), END, np.uint16)
+            ends = np.cumsum(each)
+            values = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(sizes) - sizes)[s.kind] - (ends - each), each)]
+            ids[np.arange(len(values)) + np.repeat(rank[s.row], each)] = values
+            yield rows + start, ids, counts
 
 
-def _encoded(batch: pa.RecordBatch, at: int, encoder) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, ids with end marks one after another, their number per row) of the rows with text."""
-    rows = np.flatnonzero(batch.column(at).is_valid().to_numpy(zero_copy_only=False))
-    for i in range(0, len(rows), TEXTS):
-        some = rows[i:i + TEXTS]
-        lists = encoder.encode(batch.column(at).take(pa.array(some)).to_pylist(), num_threads=1)
-        counts = np.array([len(x) + 1 for x in lists])
-        ids = np.full(counts.sum(), END, np.uint16)
-        starts = np.cumsum(counts) - counts
-        for s, x in zip(starts.tolist(), lists):
-            ids[s:s + len(x)] = x
-        yield some, ids, counts
+@lru_cache(maxsize=2)
+def encoder_of(model: bytes) -> Encoder:
+    """Built once per worker process."""
+    return Encoder(model)
 
 
 def write_training_order(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, key: int = KEY, sequence: int = SEQUENCE, per_shard: int = PER_SHARD) -> DataFrame:
@@ -92,9 +129,9 @@ def write_training_order(docs: DataFrame, folder: str, doc_id: str = "doc_id", t
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = _encoder(shared.value), 0
+        encoder, total = encoder_of(shared.value), 0
         for batch in batches:
-            for _, _, counts in _encoded(batch, 0, encoder):
+            for _, _, counts in encoder.encode(batch.column(0)):
                 total += int((-(-counts // sequence)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], names=["part", "n"])
 
@@ -107,11 +144,11 @@ def write_training_order(docs: DataFrame, folder: str, doc_id: str = "doc_id", t
     plan = spark.sparkContext.broadcast(bases)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        encoder = encoder_of(shared.value)
         number, expected = plan.value.get(TaskContext.get().partitionId(), (0, 0))
         last = number + expected
         for batch in batches:
-            for which, ids, counts in _encoded(batch, 1, encoder):
+            for which, ids, counts in encoder.encode(batch.column(1)):
                 each = -(-counts // sequence)
                 total = int(each.sum())
                 within = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
