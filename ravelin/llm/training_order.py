@@ -1,19 +1,21 @@
 """Token ids written in training order as fixed-stride binary shards.
 
 Texts become piece ids with an end mark and are cut into sequences of ``SEQUENCE`` ids (the last one of a text is padded). Sequences are
-numbered 0..n-1 in the order of the input, and a keyed Feistel permutation moves each number to its slot: the network permutes the smallest
-power of four that holds n, and results of n or more are permuted again until they fall below n (cycle-walking), which keeps it a
-permutation of 0..n-1. The order is fixed by the key; neither a shuffle buffer nor a sort by random numbers is needed.
+numbered in the order of the input, and a keyed Feistel permutation moves each number to a place: the network permutes the smallest power
+of four that holds the numbers, and results outside their range are permuted again until they fall into it (cycle-walking), which keeps it
+a permutation. The order is fixed by the key; neither a shuffle buffer nor a sort by random numbers is needed.
 
-Shard s holds the slots ``s * PER_SHARD`` up to the next shard's, one after another, ``SEQUENCE`` little-endian 16-bit ids each. The place of
-a slot follows by arithmetic, and reading can stop and go on at any slot.
+A text of b bytes has at most b + 2 ids, so numbers are given out by bytes, before anything is encoded, and texts are encoded once. Numbers
+that no sequence takes leave gaps; a sequence's global slot is the rank of its place among those taken.
 
-1. a scan counts the sequences per input partition (one number each comes to the driver);
-2. a second scan of the same partitions numbers, permutes and sends each sequence to the partition of its slot range;
-3. each such partition sorts its slots and writes its shard under a name of its own attempt, renamed when whole, so a lost or repeated task
-   leaves no half shard. Its rows are the index: slot, shard, offset, document, place in the document, ids used, CRC.
+1. a scan adds up, per input partition, how many numbers its texts need at most (one sum each comes to the driver);
+2. a second scan encodes, numbers, permutes, and sends each sequence to the partition of its range of places;
+3. each such partition sorts its places and writes its shard, ``SEQUENCE`` little-endian 16-bit ids each, under a name of its own attempt,
+   renamed when whole, so a lost or repeated task leaves no half shard;
+4. the shards' numbers of sequences give each shard's first slot. Index (slot, shard, offset, document, place in the document, ids used,
+   CRC) and list of shards are tables; the byte of a slot in its shard follows by arithmetic, and reading can go on at any slot.
 
-The two scans must see the same rows in the same partitions, as scans of files do; a partition whose count differs is an error.
+The two scans must see the same rows in the same partitions, as scans of files do; a partition whose sum differs is an error.
 
 Defined results: null text gives no sequence; empty text gives one with the end mark only; repeated rows and null ids are sequences of
 their own; an empty table gives no shards.
@@ -30,8 +32,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm import wordhash as W
@@ -42,12 +45,13 @@ from ravelin.llm.wordhash import U64, mix
 
 SEQUENCE = 256
 PER_SHARD = 1 << 15
+BYTES_PER_ID = 3
 END, PAD = 2, 0
 KEY = 0x5EED
 ROUNDS = 4
 #: Bytes of text encoded at a time, and segments whose ids a worker keeps.
-SLICE_BYTES = 2 << 20
-KNOWN_SEGMENTS = 600_000
+SLICE_BYTES = 1 << 20
+KNOWN_SEGMENTS = 200_000
 
 
 def permuted(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -122,57 +126,56 @@ def encoder_of(model: bytes) -> Encoder:
 
 
 def write_training_order(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, key: int = KEY, sequence: int = SEQUENCE, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write the shards and ``order.json`` below ``folder``; returns the index, a row per sequence."""
+    """Write the shards, the list ``shards`` and ``order.json`` below ``folder``; returns the index, a row per sequence.
+
+    ``per_shard``: sequences of a shard, roughly (a text has some ``BYTES_PER_ID`` bytes for each id).
+    """
     spark = docs.sparkSession
     with open(model, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = encoder_of(shared.value), 0
-        for batch in batches:
-            for _, _, counts in encoder.encode(batch.column(0)):
-                total += int((-(-counts // sequence)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())], names=["part", "n"])
-
-    counted = {r["part"]: r["n"] for r in rows.select("text").mapInArrow(count, "part int, n long").collect()}
+    most = F.floor((F.octet_length("text") + 1 + sequence) / sequence)
+    sums = rows.where("text is not null").groupBy(F.spark_partition_id().alias("part")).agg(F.sum(most).alias("n")).collect()
     bases, n = {}, 0
-    for part in sorted(counted):
-        bases[part] = (n, counted[part])
-        n += counted[part]
-    shards = -(-n // per_shard)
+    for r in sorted(sums, key=lambda r: r["part"]):
+        bases[r["part"]] = (n, n + r["n"])
+        n += r["n"]
+    width = per_shard * BYTES_PER_ID
     plan = spark.sparkContext.broadcast(bases)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value)
-        number, expected = plan.value.get(TaskContext.get().partitionId(), (0, 0))
-        last = number + expected
+        number, last = plan.value.get(TaskContext.get().partitionId(), (0, 0))
         for batch in batches:
+            lengths = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for which, ids, counts in encoder.encode(batch.column(1)):
+                needed = (lengths[which] + 1 + sequence) // sequence
                 each = -(-counts // sequence)
+                if (each > needed).any():
+                    raise RuntimeError("a text has more ids than bytes")
                 total = int(each.sum())
                 within = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
+                places = permuted(np.repeat(number + np.cumsum(needed) - needed, each) + within, n, key)
+                number += int(needed.sum())
                 used = np.minimum(np.repeat(counts, each) - within * sequence, sequence)
                 data = np.full(total * sequence, PAD, "<u2")
                 start = np.cumsum(each) - each
                 data[np.arange(len(ids)) + np.repeat(start * sequence - (np.cumsum(counts) - counts), counts)] = ids
-                slots = permuted(np.arange(number, number + total), n, key)
-                number += total
                 column = pa.Array.from_buffers(pa.binary(), total, [None, pa.py_buffer((np.arange(total + 1) * 2 * sequence).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), batch.column(0).take(pa.array(np.repeat(which, each))), pa.array(within), pa.array(used.astype(np.int32)), column],
-                    names=["slot", "shard", "doc_id", "seq", "n_ids", "data"],
+                    [pa.array(places), pa.array((places // width).astype(np.int32)), batch.column(0).take(pa.array(np.repeat(which, each))), pa.array(within), pa.array(used.astype(np.int32)), column],
+                    names=["place", "shard", "doc_id", "seq", "n_ids", "data"],
                 )
         if number != last:
             raise RuntimeError("the input changed between the two scans")
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    placed = rows.mapInArrow(place, f"slot long, shard int, doc_id {kind}, seq long, n_ids int, data binary")
-    ranges = placed.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("slot")
+    placed = rows.mapInArrow(place, f"place long, shard int, doc_id {kind}, seq long, n_ids int, data binary")
+    ranges = placed.repartitionById(max(1, -(-n // width)), F.col("shard")).sortWithinPartitions("place")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = file_system(folder)
-        out, shard, temporary = None, -1, ""
+        out, shard, temporary, held = None, -1, "", 0
         for batch in batches:
             numbers = batch.column(1).to_numpy()
             for a in np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]).tolist():
@@ -180,7 +183,7 @@ def write_training_order(docs: DataFrame, folder: str, doc_id: str = "doc_id", t
                     if out is not None:
                         out.close()
                         fs.move(temporary, shard_path(path, shard))
-                    shard = int(numbers[a])
+                    shard, held = int(numbers[a]), 0
                     temporary = f"{path}/attempt-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(temporary)
                 part = batch.filter(pa.array(numbers == shard))
@@ -189,19 +192,24 @@ def write_training_order(docs: DataFrame, folder: str, doc_id: str = "doc_id", t
                 block = memoryview(buffers[2])[int(first[0]):int(first[len(part)])]
                 out.write(block)
                 crc = [zlib.crc32(block[i:i + 2 * sequence]) for i in range(0, len(block), 2 * sequence)]
-                slots = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array((slots - shard * per_shard) * 2 * sequence), *part.columns[2:5], pa.array(crc, pa.int64())], names=["slot", "shard", "offset", "doc_id", "seq", "n_ids", "crc"])
+                at = pa.array(np.arange(held, held + len(part)))
+                held += len(part)
+                yield pa.RecordBatch.from_arrays([part.column(1), at, *part.columns[2:5], pa.array(crc, pa.int64())], names=["shard", "at", "doc_id", "seq", "n_ids", "crc"])
         if out is not None:
             out.close()
             fs.move(temporary, shard_path(path, shard))
 
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
-    index = ranges.mapInArrow(write, f"slot long, shard int, offset long, doc_id {kind}, seq long, n_ids int, crc long")
-    index = written(index, "order-index")
+    found = written(ranges.mapInArrow(write, f"shard int, at long, doc_id {kind}, seq long, n_ids int, crc long"), "order-index")
+    sizes = found.groupBy("shard").agg(F.count("*").alias("n"))
+    # one row per shard
+    firsts = sizes.withColumn("first", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
+    firsts.withColumn("first", F.coalesce("first", F.lit(0))).write.parquet(f"{folder}/shards")
     with fs.open_output_stream(f"{path}/order.json") as f:
-        f.write(json.dumps({"sequences": n, "shards": shards, "per_shard": per_shard, "sequence": sequence, "key": key}).encode())
-    return index
+        f.write(json.dumps({"sequence": sequence, "key": key, "numbers": n}).encode())
+    shards = spark.read.parquet(f"{folder}/shards").select("shard", "first")
+    return found.join(shards, "shard").select((F.col("first") + F.col("at")).alias("slot"), "shard", (F.col("at") * 2 * sequence).alias("offset"), "doc_id", "seq", "n_ids", "crc")
 
 
 def shard_path(folder: str, shard: int) -> str:
@@ -212,18 +220,18 @@ def read_training_order(spark: SparkSession, folder: str, first: int = 0, last:
     """slot, shard, ids (bytes), crc of the slots ``first`` up to ``last`` (exclusive; default: all), each shard read from front to back."""
     fs, path = file_system(folder)
     with fs.open_input_stream(f"{path}/order.json") as f:
-        order = json.loads(f.read())
-    per_shard, stride = order["per_shard"], 2 * order["sequence"]
-    last = order["sequences"] if last is None else min(last, order["sequences"])
-    shards = spark.range(first // per_shard, -(-last // per_shard) if last > first else first // per_shard, numPartitions=max(1, order["shards"]))
+        stride = 2 * json.loads(f.read())["sequence"]
+    end = F.col("first") + F.col("n")
+    stop = end if last is None else F.least(end, F.lit(last))
+    shards = spark.read.parquet(f"{folder}/shards").select("shard", "first", F.greatest("first", F.lit(first)).alias("a"), stop.alias("b")).where("a < b")
+    shards = shards.repartition(spark.sparkContext.defaultParallelism, "shard")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = file_system(folder)
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                a, b = max(first, shard * per_shard), min(last, (shard + 1) * per_shard)
+            for shard, start, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 with fs.open_input_file(shard_path(path, shard)) as f:
-                    f.seek((a - shard * per_shard) * stride)
+                    f.seek((a - start) * stride)
                     for at in range(a, b, 4096):
                         n = min(4096, b - at)
                         block = f.read(n * stride)

@@ -48,8 +48,12 @@ def test_training_order_round_trip(spark, tmp_path):
     index = T.write_training_order(spark.read.parquet(str(tmp_path / "docs")), folder, sequence=16, per_shard=5).collect()
     n = len(index)
     assert sorted(r["slot"] for r in index) == list(range(n))
-    assert all(r["shard"] == r["slot"] // 5 and r["offset"] == r["slot"] % 5 * 32 for r in index)
-    assert sorted(os.listdir(folder)) == sorted(["order.json", *(f"shard-{s:08d}.u16" for s in range(-(-n // 5)))])
+    by_slot = sorted(index, key=lambda r: r["slot"])
+    assert [r["shard"] for r in by_slot] == sorted(r["shard"] for r in index) and len({r["shard"] for r in index}) > 2
+    firsts = {r["shard"]: r["slot"] for r in reversed(by_slot)}
+    assert all(r["offset"] == (r["slot"] - firsts[r["shard"]]) * 32 for r in index)
+    assert sorted(os.listdir(folder)) == sorted(["order.json", "shards", *(f"shard-{s:08d}.u16" for s in firsts)])
+    assert [r["seq"] for r in by_slot] != sorted(r["seq"] for r in index)
     read = {r["slot"]: np.frombuffer(r["ids"], "<u2") for r in T.read_training_order(spark, folder).collect()}
     assert len(read) == n and all(len(x) == 16 for x in read.values())
     part = T.read_training_order(spark, folder, 3, n - 2).collect()
