@@ -184,22 +184,26 @@ def _newton_sums(features: list[str], label: str, beta: np.ndarray) -> Callable[
     return run
 
 
-def bootstrap_logit(df: DataFrame, identifier: str, features: list[str], label: str, replicates: int, iterations: int = 8) -> np.ndarray:
+def bootstrap_logit(df: DataFrame, identifier: str, features: list[str], label: str, replicates: int, steps: int = 50, tolerance: float = 1e-8) -> np.ndarray:
     """Coefficients (intercept first) of ``replicates`` weighted refits, all moved together by Newton steps.
 
     Each step is one pass: tasks add up their normal equations for every replicate, Spark sums
-    them, and what comes back is replicates x (p^2 + p) numbers, whatever the number of rows.
+    them, and what comes back is replicates x (p^2 + p) numbers, whatever the number of rows. It ends when no
+    coefficient moves by more than ``tolerance``; not getting there in ``steps`` is an error.
     """
     rows = df.select(*features, label, F.xxhash64(F.col(identifier)).alias("_hash"))
     width = len(features) + 1
     beta = np.zeros((replicates, width))
-    for _ in range(iterations):
+    for _ in range(steps):
         sums = rows.mapInPandas(_newton_sums(features, label, beta), "b int, k int, v double").groupBy("b", "k").agg(F.sum("v").alias("v")).toPandas()
         flat = np.zeros((replicates, width * width + width))
         flat[sums["b"], sums["k"]] = sums["v"]
         gram = flat[:, : width * width].reshape(replicates, width, width) + 1e-9 * np.eye(width)
-        beta = beta + np.linalg.solve(gram, flat[:, width * width :][:, :, None])[:, :, 0]
-    return beta
+        step = np.linalg.solve(gram, flat[:, width * width :][:, :, None])[:, :, 0]
+        beta = beta + step
+        if np.abs(step).max() <= tolerance:
+            return beta
+    raise RuntimeError("the refits did not converge")
 
 
 def decision_flips(df: DataFrame, identifier: str, features: list[str], beta: np.ndarray, removed: set[str], rate: float) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.functions import bars
-from ravelin.functions.binding import lookup
 from ravelin.operators.ordering import lag_in_chunks, running_sum_in_chunks
 from ravelin.operators.quantiles import grouped_quantile
 from ravelin.plans.registry import query

@@ -74,7 +74,7 @@ def labelled(t: Tables) -> DataFrame:
 def baseline(t: Tables) -> DataFrame:
     features = ["chars", "words", "is_en", "src"]
     train, test = models.split_by_hash(labelled(t), "doc_id", 0.7, "split")
-    scored = models.predict(test, models.forest(train, features, "quality", trees=60, leaf=5), features)
+    scored = models.predict(test, models.forest(train, features, "quality", trees=300, leaf=20), features)
     return fair.fairness_frame(scored, ["grp"], F.col("quality"), F.col("pred"))
 
 
@@ -82,14 +82,14 @@ def baseline(t: Tables) -> DataFrame:
 def ablation(t: Tables) -> DataFrame:
     train, test = models.split_by_hash(labelled(t), "doc_id", 0.7, "split")
     sets = {"all": ["chars", "words", "is_en", "src"], "without language": ["chars", "words", "src"], "without language and source": ["chars", "words"]}
-    return models.ablate(train, test, sets, "quality", "grp", "en", "other", trees=40)
+    return models.ablate(train, test, sets, "quality", "grp", "en", "other", trees=300)
 
 
 @query("ml06_proxy_power_of_columns")
 def proxies(t: Tables) -> DataFrame:
     rows = prepared(t).withColumn("nation_code", F.col("id") * 0.0 + F.hash("region") % 1000)
     sets = {"place": ["nation_code"], "score and hours": ["z_score", "z_hours"]}
-    return models.proxy_power(rows, "id", sets, "remote", folds=3, trees=20)
+    return models.proxy_power(rows, "id", sets, "remote", folds=5, trees=100)
 
 
 @query("agg08_gap_decomposition")
@@ -110,7 +110,7 @@ def refits(t: Tables) -> DataFrame:
     rows, features = prepared(t), [*CRITERIA, "remote"]
     model = models.fit_logit(rows, features, "y")
     base = fair.select_top(rows.withColumn("s", models.linear_score(model, features, {"remote"})), "s", RATE, "id")
-    beta = models.bootstrap_logit(rows, "id", features, "y", replicates=20)
+    beta = models.bootstrap_logit(rows, "id", features, "y", replicates=200)
     flips = models.decision_flips(base, "id", features, beta, {"remote"}, RATE)
     penalty = beta[:, -1]
     return flips.agg(F.median("flips").alias("flips_median"), F.max("flips").alias("flips_max"), F.count(F.lit(1)).alias("replicates")).withColumns(

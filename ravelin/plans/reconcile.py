@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.operators import grid, reconcile as rec
-from ravelin.plans.grid import WIDTH, points
+from ravelin.plans.grid import points
 from ravelin.plans.registry import query
 from ravelin.sources.tables import Tables
 
