@@ -154,17 +154,21 @@ def listed(spans: Column) -> Column:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]", allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans are one secret. Texts without secrets stay as they are."""
-    found = scan_secrets(docs.withColumn("_n", F.length(text)), text, allow)
+    """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans are one secret. Texts without secrets and all other
+    columns stay as they are, also those named like results."""
+    body = F.col(f"in_{text}")
+    given = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}).withColumn("_n", F.length(body))
+    found = scan_secrets(given, f"in_{text}", allow)
     merged = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.when(
-            s["start"] >= acc["at"], F.struct(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"), s["end"].alias("at"))
+            s["start"] >= acc["at"], F.struct(F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"), s["end"].alias("at"))
         ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.col("_n"))),
+        lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.col("_n"))),
     )
-    return found.withColumn(text, F.when(F.size("spans") > 0, merged).otherwise(F.col(text))).drop("_n", "spans")
+    masked = found.withColumn(f"in_{text}", F.when(F.size("spans") > 0, merged).otherwise(body))
+    return masked.select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
 
 
 def _sql() -> str:

@@ -35,6 +35,8 @@ def test_sliding_windows_equal_recomputed_ones(spark):
 def test_allow_list_and_masking(spark):
     key = "Zx8Qw3Er7Ty2Ui9Op4As6Df1"
     df = spark.createDataFrame([(1, f"a {key} b", "x"), (2, f"a {key}example b", "y"), (3, "see password=abcdefgh1 ok", "z"), (4, "plain é", "w"), (5, None, "v")], "doc_id int, text string, spans string")
-    out = {r["doc_id"]: r["text"] for r in S.mask_secrets(df).collect()}
+    masked = S.mask_secrets(df)
+    assert masked.columns == df.columns and {r["spans"] for r in masked.collect()} == set("xyzwv")
+    out = {r["doc_id"]: r["text"] for r in masked.collect()}
     assert out == {1: "a [secret] b", 2: f"a {key}example b", 3: "see [secret] ok", 4: "plain é", 5: None}
     assert S.scan_secrets(df).where((F.col("doc_id") == 5) & (F.size("spans") == 0)).count() == 1
