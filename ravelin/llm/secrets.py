@@ -9,6 +9,9 @@ allow-listed string (ignoring ASCII case) or is a single run of an alphabet is s
 
 The sums are whole numbers (millionths of a bit), so no rounding error builds up and every engine finds the same windows.
 
+Masking also judges the runs of one class inside a candidate (``RUNS``), each as a candidate of its own, with its own window, threshold and
+allow-list; so a key behind ``key=`` or ``API_`` is found. The query judges whole candidates only, which its check SQL prescribes.
+
 Spans are code points, end exclusive, listed by start, then kind in the order assign, access, hex, entropy. Defined results: null and
 empty texts have no spans; repeated rows are scanned one by one; columns named like results are replaced.
 """
@@ -30,6 +33,8 @@ ASSIGN_VALUE = 8
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: Runs of one class inside a candidate: a key joined to a name by a sign or by letters of another class is judged by its own class.
+RUNS = ("[0-9a-fA-F]{20,}", "[A-Z0-9]{20,}", "[A-Za-z0-9]{20,}")
 KINDS = ("assign", "access", "hex", "entropy")
 UNIT = 1_000_000
 
@@ -136,13 +141,27 @@ def entropy_spans(text: Column, candidates: Column, allow: tuple[str, ...] = ALL
     return F.flatten(F.transform(candidates, of))
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """``docs`` with ``spans``: array of (start, end, kind), sorted."""
+def joined(spans: Column) -> Column:
+    """Spans of one kind, those that touch or overlap as one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))
+        return F.when(F.coalesce(last["end"] >= s["start"], F.lit(False)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.expr("cast(array() as array<struct<start:int,end:int,kind:string,value:int>>)"), step)
+
+
+def scan_secrets(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, runs: bool = False) -> DataFrame:
+    """``docs`` with ``spans``: array of (start, end, kind), sorted. With ``runs``, the runs of one class inside a candidate are candidates too."""
     whole = F.coalesce(F.col(text), F.lit(""))
     found = docs.withColumn("_candidates", located(whole, CANDIDATE, "entropy"))
+    if runs:
+        inside = F.array_distinct(F.concat("_candidates", *(located(whole, r, "entropy") for r in RUNS)))
+        found = found.withColumn("_candidates", F.when(F.size("_candidates") > 0, inside).otherwise(F.col("_candidates")))
+    high = entropy_spans(whole, F.col("_candidates"), allow)
     spans = F.concat(
-        located(whole, ASSIGN, "assign", 2, ASSIGN_VALUE), located(whole, ACCESS, "access"), located(whole, HEX, "hex"),
-        entropy_spans(whole, F.col("_candidates"), allow),
+        located(whole, ASSIGN, "assign", 2, ASSIGN_VALUE), located(whole, ACCESS, "access"), located(whole, HEX, "hex"), joined(high) if runs else high,
     )
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     ranked = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -154,11 +173,11 @@ def listed(spans: Column) -> Column:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]", allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans are one secret. Texts without secrets and all other
+    """``docs`` with every secret in ``text``, also inside candidates, replaced by ``mark``; overlapping spans are one secret. Texts without secrets and all other
     columns stay as they are, also those named like results."""
     body = F.col(f"in_{text}")
     given = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}).withColumn("_n", F.length(body))
-    found = scan_secrets(given, f"in_{text}", allow)
+    found = scan_secrets(given, f"in_{text}", allow, runs=True)
     merged = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
