@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next stage's ``docs``. All
 stages but the last return the columns of ``documents``:
 
-* language_id drops documents without a letter, and those in which no known language has half of the words;
+* language_id drops documents without a letter, and those of which the known languages together hold less than half of the words;
 * near_dedup keeps the document of smallest id of each group of near-duplicates (five-word shingles, similarity of 0.8 or more);
 * decontaminate drops documents that hold ten consecutive words of a benchmark item;
 * mask_secrets replaces secrets by a mark; documents stay;

@@ -3,10 +3,13 @@
 Training counts byte trigrams (letters lower-cased, everything else one blank) per language over all training rows: each task sums its own
 rows, Spark sums the tasks. A language is a smoothed distribution over ``BUCKETS`` hashed trigrams.
 
-A document is a bag of words; each word comes from one language and has the likelihood of its trigrams in it. Expectation-maximisation
-estimates the document's language proportions. For the languages in falling order of proportion, the sets of the first one, two and three
-are fitted again, and the set with the largest penalised likelihood ``log L - PENALTY * |set| * log(words)`` is taken. The prediction is
-the set's language of largest proportion, the score that proportion.
+A document is a bag of words; each word comes from one language, with the likelihood of its trigrams in it, or from a background in which
+all buckets are equally likely: words that fit no known language. Expectation-maximisation estimates the document's proportions. For the
+languages in falling order of proportion, the sets of the first one, two, three and so on, each with the background, are fitted again, and
+the set with the largest penalised likelihood ``log L - PENALTY * |set| * log(words)`` is taken. Sets grow until an upper bound of the
+likelihood over all languages shows that no larger set can win, up to ``MAX_SET``. The prediction is the set's language of largest
+proportion, the score that proportion; proportions are of all words, so the background's is what the languages leave. Documents of fewer
+than ``BACKGROUND_WORDS`` words have no background.
 
 All documents of a slice are fitted at once on arrays; a document's result depends on its own text only.
 
@@ -37,6 +40,10 @@ ROUNDS = 6
 #: A word counts at most so much (natural log) against a language: names and junk decide nothing alone.
 ODD_WORD = 14.0
 PENALTY = 3.0
+#: Proportion of the background before the first round.
+BACKGROUND = 0.05
+#: Shorter documents have no background: of fewer words (95 % Wilson bound) it can't be told that most fit no language.
+BACKGROUND_WORDS = 4
 UNKNOWN = "und"
 
 _letters = np.full(256, 32, np.uint8)
@@ -118,25 +125,46 @@ def _fit(likely: np.ndarray, share: np.ndarray, rows: np.ndarray, first: np.ndar
     return share, np.add.reduceat(value, first)
 
 
+def _most(likely: np.ndarray, share: np.ndarray, value: np.ndarray, rows: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Upper bound of the log likelihood of each document over all proportions (Jensen's inequality at ``share``, whose value is ``value``)."""
+    ratio = likely / (share[rows] * likely).sum(1, keepdims=True)
+    return value + counts * np.log(np.maximum((np.add.reduceat(ratio, first, axis=0) / counts[:, None]).max(1), 1))
+
+
 def mixture(model_log_p: np.ndarray, prior: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that have words, their proportions) over the languages; languages outside the chosen set have proportion 0."""
+    """(rows that have words, their proportions) over the languages; languages outside the chosen set have proportion 0, the background has the rest."""
     bucket, first_gram, word_row = trigrams(data, offsets)
     if not len(first_gram):
         return np.zeros(0, np.int64), np.zeros((0, len(prior)), np.float32)
     logs = np.add.reduceat(model_log_p[bucket], first_gram, axis=0)
-    likely = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -ODD_WORD))
+    uniform = np.diff(np.append(first_gram, len(bucket))) * np.float32(-np.log(BUCKETS))
     docs, first, rows, counts = np.unique(word_row, return_index=True, return_inverse=True, return_counts=True)
-    shares, _ = _fit(likely, np.repeat(prior[None], len(docs), 0), rows, first, counts, ROUNDS)
-    rank = np.argsort(np.argsort(-shares, axis=1, kind="stable"), axis=1)
+    few = counts < BACKGROUND_WORDS
+    logs = np.column_stack([logs, np.where(few[rows], -np.inf, uniform)]).astype(np.float32)
+    likely = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -ODD_WORD))
+    start = np.repeat(np.append(prior * (1 - BACKGROUND), BACKGROUND).astype(np.float32)[None], len(docs), 0)
+    start[few] = np.append(prior, 0)
+    shares, value = _fit(likely, start, rows, first, counts, ROUNDS)
+    most = _most(likely, shares, value, rows, first, counts)
+    rank = np.argsort(np.argsort(-shares[:, :-1], axis=1, kind="stable"), axis=1)
+    rank = np.column_stack([rank, np.full(len(docs), -1)])
+    step = PENALTY * np.log(np.maximum(counts, 2))
     best, chosen = np.full(len(docs), -np.inf), np.zeros_like(shares)
     for size in range(1, min(MAX_SET, len(prior)) + 1):
-        kept = np.where(rank < size, np.maximum(shares, 1e-4), 0).astype(np.float32)
+        # larger sets can't be better where even the bound is not
+        open_ = np.flatnonzero(most - step * size > best)
+        if not len(open_):
+            break
+        some = np.isin(rows, open_) if len(open_) < len(docs) else np.ones(len(rows), bool)
+        n = counts[open_]
+        kept = np.where(rank[open_] < size, np.maximum(shares[open_], 1e-4), 0).astype(np.float32)
+        kept[few[open_], -1] = 0
         kept /= kept.sum(1, keepdims=True)
-        fitted, value = _fit(likely, kept, rows, first, counts, ROUNDS if size > 1 else 0)
-        value -= PENALTY * size * np.log(np.maximum(counts, 2))
-        better = value > best
-        best[better], chosen[better] = value[better], fitted[better]
-    return docs, chosen
+        fitted, value = _fit(likely[some], kept, np.repeat(np.arange(len(open_)), n), np.cumsum(n) - n, n, ROUNDS)
+        value -= step[open_] * size
+        better = value > best[open_]
+        best[open_[better]], chosen[open_[better]] = value[better], fitted[better]
+    return docs, chosen[:, :-1]
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -180,9 +208,10 @@ def train_on_documents(docs: DataFrame) -> Model:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """Documents in which one known language has at least ``min_score`` of the words, all columns as they were."""
+    """Documents of which the known languages together hold at least ``min_score`` of the words, all columns as they were."""
     found = identify(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), train_on_documents(docs), "in_text")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
+    known = F.aggregate("languages", F.lit(0.0), lambda acc, x: acc + x["share"])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (known >= min_score)).select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
 
 
 @query("op10_language_mixture")
