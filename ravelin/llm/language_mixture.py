@@ -7,7 +7,7 @@ A document is a bag of words; each word comes from one language, with the likeli
 all buckets are equally likely: words that fit no known language. Expectation-maximisation estimates the document's proportions. For the
 languages in falling order of proportion, the sets of the first one, two, three and so on, each with the background, are fitted again, and
 the set with the largest penalised likelihood ``log L - PENALTY * |set| * log(words)`` is taken. Sets grow until an upper bound of the
-likelihood over all languages shows that no larger set can win, up to ``MAX_SET``. The prediction is the set's language of largest
+likelihood over all languages shows that no larger set can win; there is no other limit. The prediction is the set's language of largest
 proportion, the score that proportion; proportions are of all words, so the background's is what the languages leave. Documents of fewer
 than ``BACKGROUND_WORDS`` words have no background.
 
@@ -35,7 +35,6 @@ BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.02
 #: The model is brought to the driver and broadcast: languages x buckets numbers. More languages are an error, not a cut.
 MAX_LANGUAGES = 500
-MAX_SET = 3
 ROUNDS = 6
 #: A word counts at most so much (natural log) against a language: names and junk decide nothing alone.
 ODD_WORD = 14.0
@@ -150,7 +149,7 @@ def mixture(model_log_p: np.ndarray, prior: np.ndarray, data: np.ndarray, offset
     rank = np.column_stack([rank, np.full(len(docs), -1)])
     step = PENALTY * np.log(np.maximum(counts, 2))
     best, chosen = np.full(len(docs), -np.inf), np.zeros_like(shares)
-    for size in range(1, min(MAX_SET, len(prior)) + 1):
+    for size in range(1, len(prior) + 1):
         # larger sets can't be better where even the bound is not
         open_ = np.flatnonzero(most - step * size > best)
         if not len(open_):

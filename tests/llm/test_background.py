@@ -26,6 +26,16 @@ def made():
     return train, cases
 
 
+def test_sets_grow_beyond_three(spark, made):
+    train, cases = made
+    model = L.train(spark.createDataFrame(train, "doc_id int, text string, lang string"), "text", "lang")
+    found = {r["doc_id"]: {x["lang"]: x["share"] for x in r["languages"]} for r in L.identify(spark.createDataFrame(list(cases.items()), "doc_id int, text string"), model).collect()}
+    near = lambda got, **want: got.keys() == want.keys() and all(abs(got[k] - v) < 0.03 for k, v in want.items())
+    assert near(found[1], aa=1) and near(found[2], aa=0.4, bb=0.35, cc=0.25)
+    assert near(found[3], aa=0.25, bb=0.25, cc=0.25, dd=0.25) and near(found[4], aa=0.45, bb=0.25, cc=0.2, dd=0.1)
+    assert near(found[8], **dict.fromkeys(LETTERS, 0.2))
+
+
 def test_known_languages_decide_not_one(spark, made):
     """Three clean languages stay; junk and an unseen script go, though one language fits them best."""
     train, cases = made
