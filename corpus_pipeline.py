@@ -7,7 +7,7 @@ stages but the last return the columns of ``documents``:
 * near_dedup keeps the document of smallest id of each group of near-duplicates (five-word shingles, similarity of 0.8 or more);
 * decontaminate drops documents that hold ten consecutive words of a benchmark item;
 * mask_secrets replaces secrets by a mark; documents stay;
-* encode gives every document's sampled piece ids.
+* encode gives every document's sampled piece ids, decodes them, and tells whether all give the text back.
 """
 
 from __future__ import annotations
@@ -45,8 +45,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = piece_sampling.sample_pieces(docs.select("doc_id", "text"), F.col("doc_id"), keep_text=False)
-    return found.select("doc_id", F.size("samples").alias("n_samples"), "samples")
+    found = piece_sampling.sample_pieces(docs.select("doc_id", "text"), F.col("doc_id"), keep_text=False, decode=True)
+    same = F.forall("decoded", lambda d: d["same"])
+    return found.select("doc_id", F.size("samples").alias("n_samples"), "samples", F.col("decoded.sha256").alias("decoded_sha256"), same.alias("round_trip"))
 
 
 STAGES = [

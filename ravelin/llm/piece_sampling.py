@@ -23,14 +23,15 @@ stay; ``samples`` replaces a column of that name.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +75,9 @@ class Vocabulary:
         self.weights = np.zeros(len(self.pieces))
         self.weights[normal] = logs[:len(normal)]
         self.weights[self.byte_ids[self.byte_ids >= 0]] = logs[-1]
+        self.piece_sizes = np.array([len(p) for p in self.pieces])
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+        self.piece_bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
         self._trie(normal)
 
     def _trie(self, normal: list[int]) -> None:
@@ -456,14 +460,37 @@ def log_inclusion(log_prob: float, threshold: float) -> float:
     return float(x if x < -30 else np.log(-np.expm1(-np.exp(min(x, 700.0)))))
 
 
-def sample_pieces(docs: DataFrame, key: Column, text: str = "text", k: int = SAMPLES, model: str = MODEL, keep_text: bool = True) -> DataFrame:
+def decoded(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
+    """Texts of lists of piece ids, joined on arrays."""
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(vocabulary.pieces)):
+        raise IndexError("a piece id outside the vocabulary")
+    sizes = vocabulary.piece_sizes[ids]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    data = vocabulary.piece_bytes[np.repeat(vocabulary.piece_starts[ids] - upto[:-1], sizes) + np.arange(upto[-1])].tobytes()
+    each = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    bounds = upto[np.concatenate([[0], np.cumsum(each)])].tolist()
+    there = lists.is_valid().to_pylist()
+    return pa.array([data[a:b].decode("utf-8", "replace").removeprefix(" ") if t else None for a, b, t in zip(bounds[:-1], bounds[1:], there)], pa.string())
+
+
+def round_trips(vocabulary: Vocabulary, lists: pa.ListArray, texts: list[bytes]) -> pa.StructArray:
+    """SHA-256 of the text each list decodes to, and whether it is the given one."""
+    back = [x.encode() for x in decoded(vocabulary, lists).to_pylist()]
+    hashes, same = [hashlib.sha256(x).hexdigest() for x in back], [x == t for x, t in zip(back, texts, strict=True)]
+    return pa.StructArray.from_arrays([pa.array(hashes, pa.string()), pa.array(same, pa.bool_())], names=["sha256", "same"])
+
+
+def sample_pieces(docs: DataFrame, key: Column, text: str = "text", k: int = SAMPLES, model: str = MODEL, keep_text: bool = True, decode: bool = False) -> DataFrame:
     """``docs`` (without its text, if not ``keep_text``) with ``samples``: up to ``k`` (ids, log_prob, log_inclusion).
 
+    With ``decode``, the ids of every sample are decoded too; ``decoded`` lists the (sha256, same) of their texts, as ``round_trips`` gives them.
+
     ``model``: path of the vocabulary on the driver; its bytes (a few hundred KB) are broadcast.
     """
     with open(model, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    given = docs.drop("samples").withColumn("_seed", F.xxhash64(key))
+    given = docs.drop("samples", *["decoded"] * decode).withColumn("_seed", F.xxhash64(key))
     names = given.columns
     at, seed = names.index(text), names.index("_seed")
     own = [i for i, c in enumerate(names) if i != seed and (keep_text or i != at)]
@@ -484,23 +511,26 @@ def sample_pieces(docs: DataFrame, key: Column, text: str = "text", k: int = SAM
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat))
                 both = np.array(scores).reshape(-1, 2)
                 structs = pa.StructArray.from_arrays([lists, pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], fields=list(arrow_type.value_type))
-                samples = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(number)]).astype(np.int32), structs)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in own), samples], names=[*(names[i] for i in own), "samples"])
+                bounds = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
+                made = {"samples": pa.ListArray.from_arrays(bounds, structs)}
+                if decode:
+                    texts = [data[offsets[r]:offsets[r + 1]].tobytes() for r in np.repeat(np.arange(stop - start), number).tolist()]
+                    made["decoded"] = pa.ListArray.from_arrays(bounds, round_trips(vocabulary, lists, texts))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in own), *made.values()], names=[*(names[i] for i in own), *made])
 
     kinds = "".join(f"`{names[i]}` {given.schema[i].dataType.simpleString()}, " for i in own)
-    return given.mapInArrow(scan, f"{kinds}samples {SAMPLE_TYPE}")
+    return given.mapInArrow(scan, f"{kinds}samples {SAMPLE_TYPE}" + ", decoded array<struct<sha256:string,same:boolean>>" * decode)
 
 
-def decode_pieces(df: DataFrame, ids: str, out: str = "text", model: str = MODEL) -> DataFrame:
+def decode_pieces(df: DataFrame, ids: str | Column, out: str = "text", model: str = MODEL) -> DataFrame:
     """``df`` with the text of a list of piece ids; null for null, an id outside the vocabulary is an error."""
     with open(model, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = vocabulary_of(shared.value).pieces
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pd.Series([None if x is None else b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace").removeprefix(" ") for x in column], dtype=object)
+            yield decoded(vocabulary_of(shared.value), column)
 
     return df.withColumn(out, decode(ids))
 
@@ -508,7 +538,8 @@ def decode_pieces(df: DataFrame, ids: str, out: str = "text", model: str = MODEL
 @query("op9_piece_sampling")
 def op9_piece_sampling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = sample_pieces(docs, F.col("doc_id"), keep_text=False)
-    return found.select("doc_id", F.posexplode_outer("samples").alias("sample", "s")).select(
-        "doc_id", "sample", F.size("s.ids").cast("long").alias("n_pieces"), F.col("s.ids").alias("ids"), "s.log_prob", "s.log_inclusion"
+    found = sample_pieces(docs, F.col("doc_id"), keep_text=False, decode=True)
+    return found.select("doc_id", F.posexplode_outer(F.arrays_zip("samples", "decoded")).alias("sample", "s")).select(
+        "doc_id", "sample", F.size("s.samples.ids").cast("long").alias("n_pieces"), F.col("s.samples.ids").alias("ids"), "s.samples.log_prob", "s.samples.log_inclusion",
+        F.col("s.decoded.sha256").alias("decoded_sha256"), F.col("s.decoded.same").alias("round_trip"),
     )
