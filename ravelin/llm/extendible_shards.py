@@ -5,7 +5,8 @@ bucket. A bucket over the byte limit splits on its next bit, others stay as they
 
 Splitting is done on sizes, not on rows: a round sums the bytes per bucket and value of the next ``STEP`` bits, adds these sums up to all
 shorter prefixes, and takes for each value the shortest prefix that fits. Only rows of values that still don't fit go to the next round.
-Sums are combined before they are shuffled and rows are narrow (key, bytes, hashes); the contents aren't touched.
+Sums are combined before they are shuffled and rows are narrow (key, bytes, hashes). The contents move when the shards are written: they
+meet their shard's name by row number, go to one task per shard, and the query lists what it reads back from the files.
 
 Rows of equal keys share all bits of the key hash. When a bucket holds one hash only, splitting goes on over the bits of a second hash, of
 the row's number, so one key may be any share of the rows. Such numbers are fixed once the narrow rows are written.
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.registry import query, table
-from ravelin.llm.storage import written
+from ravelin.llm.storage import new_folder, written
 
 #: Bits of a hash in use, and bits looked at in one round.
 BITS, STEP = 56, 8
@@ -76,13 +77,17 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", content: str = "text", l
     return out
 
 
-def sharded(docs: DataFrame, key: str = "doc_id", content: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
-    """doc key, shard, depth (bits), shard_bytes, shard_rows."""
-    rows = assign_shards(docs, key, content, limit)
+def with_sizes(rows: DataFrame, key: str) -> DataFrame:
+    """doc key, bytes, shard, depth (bits), shard_bytes, shard_rows; ``rows``: key, bytes, shard."""
     sizes = rows.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
     return rows.join(sizes, "shard").select(F.col("key").alias(key), "bytes", "shard", F.length(F.replace("shard", F.lit("."), F.lit(""))).cast("long").alias("depth"), "shard_bytes", "shard_rows")
 
 
+def sharded(docs: DataFrame, key: str = "doc_id", content: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
+    """The assignment alone, nothing written: doc key, bytes, shard, depth (bits), shard_bytes, shard_rows."""
+    return with_sizes(assign_shards(docs, key, content, limit), key)
+
+
 def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", content: str = "text", limit: int = LIMIT_BYTES) -> None:
     """Parquet folders ``shard=b<bits>`` below ``folder``, one file each.
 
@@ -92,10 +97,23 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", content: str
     rows = docs.drop("shard").withColumn("_row", F.monotonically_increasing_id())
     out = rows.join(names, (rows["_row"] == names["_row"]) & F.col(key).eqNullSafe(F.col("_key"))).drop("_row", "_key")
     out.repartition("shard").write.partitionBy("shard").parquet(folder)
-    if docs.sparkSession.read.parquet(folder).count() != names.count():
+    if read_shards(docs, folder).count() != names.count():
         raise RuntimeError("the input changed between the two reads")
 
 
+def read_shards(docs: DataFrame, folder: str) -> DataFrame:
+    """The written rows with ``shard``; ``docs`` gives the columns, since an empty table has no file to tell them."""
+    schema = docs.drop("shard").schema.add("shard", "string")
+    return docs.sparkSession.read.schema(schema).parquet(folder).withColumn("shard", F.substring("shard", 2, BITS * 2 + 2))
+
+
+def written_shards(docs: DataFrame, folder: str, key: str = "doc_id", content: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
+    """Writes the shards and lists what the files hold: doc key, bytes, shard, depth (bits), shard_bytes, shard_rows."""
+    write_shards(docs, folder, key, content, limit)
+    back = read_shards(docs, folder).select(F.col(key).alias("key"), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("bytes"), "shard")
+    return with_sizes(written(back, "listed"), key)
+
+
 SQL = f"""
     with r as (
         select row_number() over () as rid, doc_id, coalesce(strlen(text), 0) as bytes,
@@ -115,4 +133,4 @@ SQL = f"""
 
 @query("op8_extendible_shards", SQL)
 def op8_extendible_shards(spark, sf_dir):
-    return sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return written_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), new_folder(spark, "sharded"))
