@@ -50,10 +50,10 @@ LENGTH = 400
 REACH = 200
 SHARED = LENGTH - REACH + 1
 #: Window starts that are looked at together; a longer text is taken in pieces.
-PIECE = 1 << 21
-RUN_BYTES = 48 << 20
+PIECE = 1 << 20
+RUN_BYTES = 12 << 20
 CHUNK_ITEMS = 1024
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 6 << 20
 MAX_RANGES = 20_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 HIGH = np.uint64(0xFFFFFFFF00000000)
