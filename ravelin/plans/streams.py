@@ -15,7 +15,7 @@ from ravelin.plans.registry import query
 from ravelin.plans.text import REFERENCES_SQL, with_references
 from ravelin.sources.files import scratch
 from ravelin.sources.tables import Tables
-from ravelin.streaming import events
+from ravelin.streaming import events, lots
 
 EVENT_GROUPS = [["src17", "src18"], [bound.NEW_SOURCE]]
 
@@ -102,6 +102,63 @@ def checked_lots(t: Tables) -> DataFrame:
     return rows.select(F.date_format("lot.start", "yyyy-MM-dd").alias("lot"), "event_type", "n", F.round("total", 2).alias("total"), "published")
 
 
+# Arrival of the events in six files: five days each, some rows one file late, some two files late.
+ARRIVALS = 6
+ARRIVAL_SQL = """floor(datediff('day', DATE '2024-01-01', ts::DATE) / 5)::INT + CASE WHEN event_id % 40 = 3 THEN 1 WHEN event_id % 40 = 5 THEN 2 ELSE 0 END"""
+LOTS = lots.LotRules("ts", "1 day", "2 days", "event_type", 48.0, 52.0)
+# Watermark of a batch: latest time of the files before it, less the delay. A lot closes in the first batch whose watermark has passed its end.
+LOTS_SQL = f"""WITH e AS (SELECT *, least({ARRIVAL_SQL}, {ARRIVALS - 1}) AS file, ts::DATE + INTERVAL 1 DAY AS lot_end FROM events),
+    w AS (SELECT k.batch, (SELECT date_trunc('milliseconds', max(ts)) FROM e WHERE file < k.batch) - INTERVAL 2 DAY AS mark FROM (SELECT unnest(range({ARRIVALS})) AS batch) k),
+    c AS (SELECT lot_end, min(batch) AS batch FROM (SELECT DISTINCT lot_end FROM e) JOIN w ON lot_end <= mark GROUP BY lot_end),
+    r AS (SELECT e.*, c.batch, coalesce(c.batch < e.file, FALSE) AS late FROM e LEFT JOIN c USING (lot_end)),
+    l AS (SELECT lot_end - INTERVAL 1 DAY AS lot, event_type, batch, count(*) AS n, round(sum(value), 2) AS total, (sum(value) / count(*) BETWEEN 48 AND 52)::INT AS published
+      FROM r WHERE NOT late AND batch IS NOT NULL GROUP BY ALL)"""
+
+
+def arriving_events(t: Tables) -> str:
+    """Folder with the events in files, in the order of their arrival."""
+    folder = scratch(t.spark, "arrivals")
+    day = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 5)
+    behind = F.when(F.col("event_id") % 40 == 3, 1).when(F.col("event_id") % 40 == 5, 2).otherwise(0)
+    rows = t.events.withColumn("file", F.least(day + behind, F.lit(ARRIVALS - 1)).cast("int"))
+    for file in range(ARRIVALS):
+        rows.where(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def closed_lots(t: Tables) -> DataFrame:
+    out = scratch(t.spark, "closed-lots")
+    lots.publish_lots(t.spark, arriving_events(t), t.events.schema, out, scratch(t.spark, "closed-lots-state"), LOTS)
+    return lots.read_batches(t.spark, out)
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select(F.date_format("lot.start", "yyyy-MM-dd").alias("lot"), "event_type", "batch", "n", F.round("total", 2).alias("total"), "published")
+
+
+@query("str05_lots_closed_by_watermark", f"{LOTS_SQL} SELECT strftime(lot, '%Y-%m-%d') AS lot, event_type, batch, n, total, published FROM l")
+def lots_closed_by_watermark(t: Tables) -> DataFrame:
+    """Each lot once, in the batch that closed it, with the rows that came in time."""
+    return _shown(closed_lots(t))
+
+
+@query("str05_late_rows_side_table", f"{LOTS_SQL} SELECT event_id, event_type, file AS batch, strftime(lot_end - INTERVAL 1 DAY, '%Y-%m-%d') AS lot FROM r WHERE late")
+def late_rows(t: Tables) -> DataFrame:
+    out = scratch(t.spark, "late-rows")
+    lots.route_late_rows(t.spark, arriving_events(t), t.events.schema, out, scratch(t.spark, "late-log"), scratch(t.spark, "late-state"), LOTS)
+    return lots.read_batches(t.spark, out).select("event_id", "event_type", "batch", F.date_format("ts", "yyyy-MM-dd").alias("lot"))
+
+
+@query(
+    "str05_escalated_lots",
+    f"""{LOTS_SQL}, p AS (SELECT *, lag(published) OVER o AS before, lag(lot) OVER o AS day_before FROM l WINDOW o AS (PARTITION BY event_type ORDER BY lot))
+    SELECT strftime(lot, '%Y-%m-%d') AS lot, event_type, batch, n, total, published FROM p WHERE published = 0 AND before = 0 AND day_before + INTERVAL 1 DAY = lot""",
+)
+def escalated_lots(t: Tables) -> DataFrame:
+    """Lots outside the band for the second time in a row."""
+    return _shown(lots.escalations(closed_lots(t), "event_type"))
+
+
 LEXICON_SQL = [f"regexp_extract_all(lower(body), '{p}')" for p in plugins.LEXICON.values()]
 
 
