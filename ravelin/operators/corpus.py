@@ -194,10 +194,14 @@ def same_subject_pairs(strong: DataFrame) -> DataFrame:
 
 def status_pairs(strong: DataFrame) -> DataFrame:
     """Status reports beside statements of the subject they speak about, within the day window."""
-    reports = _side(strong.where(F.col("subject") == STATUS_SUBJECT), "r").withColumn(
+    return _status_between(strong, strong)
+
+
+def _status_between(statements: DataFrame, reporting: DataFrame) -> DataFrame:
+    reports = _side(reporting.where(F.col("subject") == STATUS_SUBJECT), "r").withColumn(
         "target", lookup(STATUS_TOPICS, F.col("entity"))
     ).where(F.col("target").isNotNull())
-    topics = _side(strong, "l")
+    topics = _side(statements, "l")
     on = (topics["entity"] == reports["entity"]) & (F.col("l_subject") == F.col("target"))
     days = F.abs(F.datediff(F.substring("l_date", 1, 10).cast("date"), F.substring("r_date", 1, 10).cast("date")))
     joined = topics.join(reports, on).where((days <= STATUS_WINDOW_DAYS) & (F.col("l_source_id") != F.col("r_source_id")))
@@ -225,6 +229,44 @@ def candidate_pairs(strong: DataFrame) -> DataFrame:
     return union.groupBy("a", "b").agg(F.min(F.struct("builder", "subject")).alias("s")).select("a", "b", "s.subject")
 
 
+def pairs_touching(changed: DataFrame, around: DataFrame) -> DataFrame:
+    """Candidate pairs with at least one statement of ``changed``; ``around`` holds all that share an entity with one, itself included.
+
+    The changed side drives every join, so pairs between unchanged statements aren't made.
+    """
+    marked = around.join(changed.select("id", F.lit(True).alias("moved")), "id", "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
+    once = ~F.col("r_moved") | (F.col("l_id") < F.col("r_id"))
+    apart = F.col("l_source_id") != F.col("r_source_id")
+
+    def linked(left: DataFrame, right: DataFrame, subjects: Column) -> DataFrame:
+        one, other = _side(left, "l"), _side(right, "r", ["moved"])
+        joined = one.join(other, (one["entity"] == other["entity"]) & subjects & apart & once)
+        joined = joined.where(one["entity"] == F.array_min(F.array_intersect("l_found", "r_found")))
+        # of equal dates the smaller id stays first
+        day = lambda s: F.coalesce(F.col(f"{s}_date"), F.lit(""))
+        first = (day("l") < day("r")) | ((day("l") == day("r")) & (F.col("l_id") < F.col("r_id")))
+        older, newer = (F.when(first, F.col(x)).otherwise(F.col(y)) for x, y in (("l_id", "r_id"), ("r_id", "l_id")))
+        return joined.select(older.alias("a"), newer.alias("b"), "l_subject", "r_subject")
+
+    plain = F.col("subject") != STATUS_SUBJECT
+    same = linked(changed.where(plain), marked.where(plain), F.col("l_subject") == F.col("r_subject"))
+    status = [(marked, changed), (changed, marked.where(~F.col("moved")))]
+    reported = [_status_between(topics, reports) for topics, reports in status]
+    named = F.filter("found", lambda e: e.rlike("^(cr|inv)-"))
+    named_only = lambda df: df.withColumn("found", named).where(F.size("found") > 0)
+    crossed = linked(named_only(changed), named_only(marked), F.col("l_subject") != F.col("r_subject"))
+    label = F.array_join(F.array_sort(F.array("l_subject", "r_subject")), "|")
+    built = [
+        same.select("a", "b", F.lit(0).alias("builder"), F.col("l_subject").alias("subject")),
+        *[r.select("a", "b", F.lit(1).alias("builder"), "subject") for r in reported],
+        crossed.select("a", "b", F.lit(2).alias("builder"), label.alias("subject")),
+    ]
+    union = built[0]
+    for part in built[1:]:
+        union = union.unionByName(part)
+    return union.groupBy("a", "b").agg(F.min(F.struct("builder", "subject")).alias("s")).select("a", "b", "s.subject")
+
+
 def fresh_pairs(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.join(known.select("a", "b"), ["a", "b"], "left_anti")
 

@@ -330,7 +330,7 @@ def counters_by_nature(t: Tables) -> DataFrame:
     )
 
 
-def _snapshot_sql(st: str, p: str) -> str:
+def snapshot_sql(st: str, p: str) -> str:
     return f"""snap{p} AS (SELECT c.*, cur{p}.id AS current_id, coalesce(g.superseded, 0) AS superseded, coalesce(f.contradictions, 0) AS contradictions
     FROM (SELECT subject, count(*) AS passages, count(*) FILTER (duplicate_of IS NULL) AS independent, count(DISTINCT source_id) AS sources,
       count(*) FILTER (duplicate_of IS NULL AND flags_risk >= 0.5) AS flags_risk, count(*) FILTER (duplicate_of IS NULL AND has_deadline >= 0.5) AS has_deadline
@@ -342,8 +342,8 @@ def _snapshot_sql(st: str, p: str) -> str:
 
 @query(
     "set03_state_diff",
-    f"""WITH {statements_sql()}, {pairs_sql()}, {guards_sql()}, {_snapshot_sql('st', '')},
-    {statements_sql(f"source <> '{NEW_SOURCE}'", 'old')}, {pairs_sql('old', '_old')}, {guards_sql('old', '_old')}, {_snapshot_sql('old', '_old')},
+    f"""WITH {statements_sql()}, {pairs_sql()}, {guards_sql()}, {snapshot_sql('st', '')},
+    {statements_sql(f"source <> '{NEW_SOURCE}'", 'old')}, {pairs_sql('old', '_old')}, {guards_sql('old', '_old')}, {snapshot_sql('old', '_old')},
     d AS (SELECT n.subject, o.current_id AS current_v1, n.current_id AS current_v2, (o.current_id IS DISTINCT FROM n.current_id)::INT AS current_changed,
       n.passages - coalesce(o.passages, 0) AS d_passages, n.independent - coalesce(o.independent, 0) AS d_independent,
       n.sources - coalesce(o.sources, 0) AS d_sources, n.flags_risk - coalesce(o.flags_risk, 0) AS d_flags_risk,

@@ -15,7 +15,7 @@ from ravelin.plans.registry import query
 from ravelin.plans.text import REFERENCES_SQL, with_references
 from ravelin.sources.files import scratch
 from ravelin.sources.tables import Tables
-from ravelin.streaming import events, lots
+from ravelin.streaming import events, incremental, lots
 
 EVENT_GROUPS = [["src17", "src18"], [bound.NEW_SOURCE]]
 
@@ -44,13 +44,57 @@ def run_corpus(t: Tables) -> events.CorpusStore:
     return store
 
 
-@query("str01_new_file_events")
+def _events_sql(changed: str = "::INT") -> str:
+    """Diffs of the two events; a pair judged by an earlier step stays as it was judged."""
+    steps = ["source NOT IN ('src17', 'src18', 'src19')", "source <> 'src19'", "TRUE"]
+    parts = []
+    for k, where in enumerate(steps):
+        parts += [bound.statements_sql(where, f"st{k}"), bound.pairs_sql(f"st{k}", f"_n{k}")]
+        stay = f"SELECT * FROM pairs_n{k}" if not k else f"SELECT * FROM pairs_{k - 1} UNION ALL SELECT * FROM pairs_n{k} WHERE (a, b) NOT IN (SELECT (a, b) FROM pairs_{k - 1})"
+        parts += [f"pairs_{k} AS ({stay})", bound.guards_sql(f"st{k}", f"_{k}"), bound.snapshot_sql(f"st{k}", f"_{k}")]
+    counts = incremental.COUNTS
+    moved = " OR ".join(f"n.{c} <> coalesce(o.{c}, 0)" for c in counts)
+    deltas = ", ".join(f"n.{c} - coalesce(o.{c}, 0) AS d_{c}" for c in counts)
+    diffs = [
+        f"""SELECT {k} AS version, n.subject, o.current_id AS current_v1, n.current_id AS current_v2, (o.current_id IS DISTINCT FROM n.current_id){changed} AS current_changed, {deltas}
+        FROM snap_{k} n LEFT JOIN snap_{k - 1} o USING (subject) WHERE o.current_id IS DISTINCT FROM n.current_id OR {moved}"""
+        for k in (1, 2)
+    ]
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(diffs)}"
+
+
+@query("str01_new_file_events", _events_sql(""))
 def new_files(t: Tables) -> DataFrame:
     """Changed subjects after each event."""
     diffs = f"{run_corpus(t).root}/diffs"
     return t.spark.read.option("basePath", diffs).parquet(diffs)
 
 
+def decided_rows(t: Tables) -> DataFrame:
+    """Decided passages without their texts, with the entities that their texts name."""
+    rows = bound.passage_rows(t).withColumn("n_text", F.length("text"))
+    return bound.with_entities(rows).withColumn("authority", F.col("authority").cast("double"))
+
+
+def run_incremental(t: Tables) -> incremental.IncrementalCorpus:
+    """Base and two events, each run taking the files that wait, with work in proportion to them."""
+    folder, state = scratch(t.spark, "inbox"), scratch(t.spark, "inbox-state")
+    rows = decided_rows(t)
+    late = [s for group in EVENT_GROUPS for s in group]
+    steps = [rows.where(~F.col("source_id").isin(late))] + [rows.where(F.col("source_id").isin(g)) for g in EVENT_GROUPS]
+    store = incremental.IncrementalCorpus(t.spark, scratch(t.spark, "incremental"), bound.judged, buckets=16)
+    for part in steps:
+        part.write.mode("append").parquet(folder)
+        events.run_files(t.spark, store.on_event, folder, rows.schema, state)
+    return store
+
+
+@query("str01_incremental_events", _events_sql())
+def incremental_events(t: Tables) -> DataFrame:
+    """Changed subjects after each event, from stored indexes and the new rows only."""
+    return run_incremental(t).diffs().where("version > 0").withColumn("current_changed", F.col("current_changed").cast("int"))
+
+
 @query(
     "str02_as_of_of_a_batch",
     """SELECT event_type, coalesce(CASE WHEN event_type = 'signup' THEN '2024-02-15' END, strftime(max(ts), '%Y-%m-%d')) AS as_of FROM events GROUP BY event_type""",

@@ -82,9 +82,13 @@ def run_events(store: CorpusStore, folder: str, schema: T.StructType, checkpoint
 
     The stream's checkpoint numbers the batches across runs, so the batch number is the version.
     """
-    stream = store.spark.readStream.schema(schema).parquet(folder)
+    run_files(store.spark, store.on_event, folder, schema, checkpoint)
+
+
+def run_files(spark: SparkSession, on_event: Callable[[DataFrame, int], None], folder: str, schema: T.StructType, checkpoint: str) -> None:
+    stream = spark.readStream.schema(schema).parquet(folder)
     query = (
-        stream.writeStream.foreachBatch(lambda df, n: store.on_event(df, n))
+        stream.writeStream.foreachBatch(lambda df, n: on_event(df, n))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
