@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import answers, passages as cut, text
 from ravelin.functions.binding import lookup
-from ravelin.operators import search
+from ravelin.operators import search, vectors
 from ravelin.plans.registry import query
 from ravelin.plans.text import TOKENS_SQL
 from ravelin.sources.tables import Tables
@@ -94,7 +94,7 @@ VECTOR_SQL = """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,
 
 @query("top08_vector_top_k", VECTOR_SQL + " SELECT query, position, id, round(score, 6) AS score FROM top WHERE position <= 10")
 def vector_top(t: Tables) -> DataFrame:
-    hits = search.vector_search(_vectors(t), _centroids(t), 10)
+    hits = vectors.search(vectors.build(_vectors(t)), _centroids(t), 10)
     return hits.select("query", "position", "id", F.round("score", 6).alias("score"))
 
 
@@ -106,7 +106,44 @@ def vector_top(t: Tables) -> DataFrame:
 )
 def knn(t: Tables) -> DataFrame:
     index = _vectors(t)
-    hits = search.vector_search(index, _centroids(t), search.NEIGHBORS)
+    hits = vectors.search(vectors.build(index), _centroids(t), search.NEIGHBORS)
+    return search.knn_vote(hits, index.select("id", "label")).withColumn("score", F.round("score", 6))
+
+
+# Queries: every vector whose id is divisible by 50, against all others.
+NEAREST_SQL = """WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+    sc AS (SELECT q.vec_id AS query, u.vec_id AS id, u.label, round(list_dot_product(u.v, q.v), 9) AS score FROM u JOIN u q ON q.vec_id % 50 = 0 AND q.vec_id <> u.vec_id),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS position FROM sc)"""
+
+
+def _asked(t: Tables) -> DataFrame:
+    return _vectors(t).where(F.col("id") % 50 == 0).select(F.col("id").alias("query"), "vector")
+
+
+@query("top08_metric_index_top_k", NEAREST_SQL + " SELECT query, position, id, round(score, 6) AS score FROM top WHERE position <= 10")
+def metric_top(t: Tables) -> DataFrame:
+    hits = vectors.search(vectors.build(_vectors(t)), _asked(t), 10, exclude_self=True)
+    return hits.select("query", "position", "id", F.round("score", 6).alias("score"))
+
+
+@query("top08_metric_index_scored_share")
+def metric_share(t: Tables) -> DataFrame:
+    """Pairs that the bounds leave to be scored, of all pairs, for the searches of the two queries beside."""
+    index = vectors.build(_vectors(t))
+    shares = [("ten nearest", 10, None), ("nearest of 0.8 or more", 1, search.PREPARED_SEMANTIC)]
+    parts = [vectors.scored_share(index, _asked(t), k, True, floor).withColumn("search", F.lit(name)) for name, k, floor in shares]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "top10_metric_index_vote",
+    NEAREST_SQL + """, k AS (SELECT query, label, count(*) AS votes, sum(score) AS total FROM top WHERE position <= 5 GROUP BY ALL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY votes DESC, round(total, 9) DESC, label) AS rn FROM k)
+    SELECT query, CASE WHEN votes >= 3 THEN label END AS label, votes, CASE WHEN votes >= 3 THEN round(total / votes, 6) END AS score FROM b WHERE rn = 1""",
+)
+def metric_vote(t: Tables) -> DataFrame:
+    index = _vectors(t)
+    hits = vectors.search(vectors.build(index), _asked(t), search.NEIGHBORS, exclude_self=True)
     return search.knn_vote(hits, index.select("id", "label")).withColumn("score", F.round("score", 6))
 
 
@@ -144,6 +181,11 @@ PREPARED_SQL = f"""WITH p AS (SELECT item_id AS id, 'Q' || lpad(item_id::VARCHAR
     SELECT query, id, round(score, 6) AS score FROM r WHERE rn = 1""",
 )
 def prepared(t: Tables) -> DataFrame:
+    asked, known = _asked_and_prepared(t)
+    return search.match_prepared(asked, known).withColumn("score", F.round("score", 6))
+
+
+def _asked_and_prepared(t: Tables) -> tuple[DataFrame, DataFrame]:
     code = F.concat(F.lit("Q"), F.lpad(F.col("item_id").cast("string"), 2, "0"))
     known = t.benchmark.select(F.col("item_id").alias("id"), code.alias("code"), text.tokens(F.col("text")).alias("tokens"))
     named = F.concat(F.lit("voir Q"), F.lpad(((F.col("item_id") + 1) % 40).cast("string"), 2, "0"), F.lit(" "))
@@ -153,7 +195,35 @@ def prepared(t: Tables) -> DataFrame:
     ).unionByName(
         t.conversations.select((F.lit(1000000) + F.col("conv_id") * 1000 + F.col("turn")).alias("query"), F.col("text").alias("body"))
     )
-    out = search.match_prepared(asked.withColumn("tokens", text.tokens(F.col("body"))), known)
+    return asked.withColumn("tokens", text.tokens(F.col("body"))), known
+
+
+# Prepared entries carry the vector of their id; a question that has one leans from its entry's vector towards the next by 0, 0.4, 0.7 or 1.
+LEANS = [0.0, 0.4, 0.7, 1.0]
+
+
+@query(
+    "top11_prepared_answer_tiers",
+    PREPARED_SQL + rf""", e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+    pv AS (SELECT p.*, e.v FROM p LEFT JOIN e ON e.vec_id = p.id),
+    qv AS (SELECT q.*, CASE WHEN query % 2 = 0 AND a.v IS NOT NULL AND b.v IS NOT NULL THEN list_transform(list_zip(a.v, b.v), lambda z: z[1] + [{', '.join(map(str, LEANS))}][(query // 2 % 4 + 1)::INT] * z[2]) END AS w
+      FROM q LEFT JOIN e a ON a.vec_id = q.query LEFT JOIN e b ON b.vec_id = q.query + 1),
+    named AS (SELECT query, min(id) AS id FROM q JOIN p ON p.code = upper(regexp_extract(body, '(?i)\b(Q\d{{2}}|EX\d)\b', 1)) GROUP BY query),
+    sem AS (SELECT query, id, round(list_dot_product(w, v) / sqrt(list_dot_product(w, w)), 9) AS score FROM qv, pv WHERE w IS NOT NULL AND v IS NOT NULL),
+    lex AS (SELECT query, id, len(list_intersect(qv.ts, p.ts)) / sqrt(len(qv.ts) * len(p.ts)) AS score FROM qv, p WHERE w IS NULL AND len(qv.ts) > 0 AND len(p.ts) > 0),
+    b AS (SELECT query, 'semantic' AS tier, id, score FROM sem WHERE score >= 0.8 UNION ALL SELECT query, 'lexical', id, score FROM lex WHERE score >= 0.75),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rn FROM b WHERE query NOT IN (SELECT query FROM named))
+    SELECT query, tier, id, round(score, 6) AS score FROM r WHERE rn = 1 UNION ALL SELECT query, 'named', id, NULL FROM named""",
+)
+def prepared_tiers(t: Tables) -> DataFrame:
+    asked, known = _asked_and_prepared(t)
+    own = t.embeddings.select(F.col("vec_id").alias("id"), search.unit(F.col("embedding")).alias("vector"))
+    known = known.join(own, "id", "left")
+    follower = own.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other"))
+    lean = F.element_at(F.array(*[F.lit(x) for x in LEANS]), (F.floor(F.col("id") / 2) % 4 + 1).cast("int"))
+    between = search.unit(F.zip_with("vector", "other", lambda a, b: a + lean * b))
+    leaning = own.join(follower, "id").where(F.col("id") % 2 == 0).select(F.col("id").alias("query"), between.alias("vector"))
+    out = vectors.match_in_tiers(asked.join(leaning, "query", "left"), known)
     return out.withColumn("score", F.round("score", 6))
 
 
