@@ -1,22 +1,29 @@
 """Record reconciliation: one-to-one matching of two item sets, gaps between their bars, findings.
 
-Assignments are made in rounds of joins and aggregations, so no group of candidates is ever
-gathered on one task.
+Ordered greedy matching is independent in the connected components of its candidates. Components (for assignments: groups) of at most
+``COMPONENT`` rows are settled by one ordered pass each, as the rows stream through a task; larger ones are worked down by rounds of
+joins and aggregations, so no task ever holds more than one small component.
 """
 
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.operators.corpus import connected_groups
 from ravelin.operators.ordering import running_sum_in_chunks
 from ravelin.session import cut_lineage
 
 SPACING_TOL, LENGTH_TOL = 5.0, 25.0
 LOW_CONFIDENCE, APPROXIMATE_CAP, UNREAD_CAP = 0.5, 0.5, 0.4
 BLOCK = 65536
+#: Most rows of a component that one task settles.
+COMPONENT = 200_000
 log = logging.getLogger(__name__)
 
 
@@ -72,7 +79,68 @@ def compare_bars(plan: DataFrame, shop: DataFrame, key: str) -> DataFrame:
     return joined.select(*by, gaps.alias("gaps"), (~has).alias("absent"))
 
 
+def _runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Rows of one key after the other, from batches that are ordered by it."""
+    kept: list[pd.DataFrame] = []
+    for batch in batches:
+        change = batch[key].ne(batch[key].shift(fill_value=kept[-1][key].iloc[-1] if kept else batch[key].iloc[0] if len(batch) else None))
+        starts = [*np.flatnonzero(change.to_numpy()), len(batch)]
+        at = 0
+        for stop in starts:
+            if stop > at:
+                kept.append(batch.iloc[at:stop])
+            if stop < len(batch) and kept:
+                yield pd.concat(kept)
+                kept = []
+            at = stop
+    if kept:
+        yield pd.concat(kept)
+
+
+def _assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Plans of a group in order, each with the next free option of its class. Options come first, best first."""
+    for rows in _runs(batches, "g"):
+        queues: dict[str, list] = {}
+        gone: set[str] = set()
+        taken = []
+        for c, pid, sid in zip(rows["c"], rows["pid"], rows["sid"]):
+            if sid is not None:
+                queues.setdefault(c, []).append(sid)
+                continue
+            queue = queues.get(c, [])
+            if isinstance(queue, list):
+                queue = queues[c] = iter(queue)
+            choice = next((s for s in queue if s not in gone), None)
+            if choice is not None:
+                gone.add(choice)
+                taken.append((rows["g"].iloc[0], pid, choice))
+        yield pd.DataFrame(taken, columns=["g", "pid", "sid"])
+
+
 def greedy_assign(plans: DataFrame, options: DataFrame) -> DataFrame:
+    """Exact result of taking plans in order, each with its best free option; see ``assign_in_rounds`` for the columns.
+
+    Groups of up to ``COMPONENT`` plans and options are settled in one pass; the others go through rounds.
+    """
+    plans, options = cut_lineage(plans), cut_lineage(options)
+    sizes = plans.select("grp").unionByName(options.select("grp")).groupBy("grp").agg(F.count(F.lit(1)).alias("rows"))
+    large = cut_lineage(sizes.where(F.col("rows") > COMPONENT).select("grp"))
+    name = lambda c: F.to_json(F.struct(F.col(c)))
+    none = F.lit(None).cast("string")
+    small = lambda df: df.join(large, "grp", "left_anti")
+    asked = small(plans).select(name("grp").alias("g"), name("cls").alias("c"), name("pid").alias("pid"), none.alias("sid"), F.lit(1).alias("step"), F.lit(None).cast(options.schema["cost"].dataType).alias("cost"), F.col("pos").alias("at"))
+    given = small(options).select(name("grp").alias("g"), name("cls").alias("c"), none.alias("pid"), name("sid").alias("sid"), F.lit(0).alias("step"), "cost", F.col("spos").alias("at"))
+    stream = given.unionByName(asked).repartition("g").sortWithinPartitions("g", "step", "cost", "at").select("g", "c", "pid", "sid")
+    named = cut_lineage(stream.mapInPandas(_assigned, "g string, pid string, sid string"))
+    back = small(plans).withColumns({"g": name("grp"), "p": name("pid")})
+    priced = small(options).withColumns({"g": name("grp"), "s": name("sid")}).select("g", "s", "cls", "sid", "cost")
+    settled = named.select("g", F.col("pid").alias("p"), F.col("sid").alias("s")).join(back, ["g", "p"]).join(priced, ["g", "s", "cls"]).select("grp", "pid", "sid", "cost")
+    if large.isEmpty():
+        return settled
+    return settled.unionByName(assign_in_rounds(plans.join(large, "grp", "left_semi"), options.join(large, "grp", "left_semi")))
+
+
+def assign_in_rounds(plans: DataFrame, options: DataFrame) -> DataFrame:
     """Exact result of taking plans in order, each with its best free option.
 
     ``plans`` (grp, cls, pid, pos): order ``pos`` inside an independent group, ``cls`` a class of plans with
@@ -116,28 +184,57 @@ def greedy_assign(plans: DataFrame, options: DataFrame) -> DataFrame:
     return out
 
 
-def greedy_edges(edges: DataFrame, order: list[str]) -> DataFrame:
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges of a component in order, each taken when both ends are free."""
+    for rows in _runs(batches, "component"):
+        used_a: set[str] = set()
+        used_b: set[str] = set()
+        taken = []
+        for a, b in zip(rows["na"], rows["nb"]):
+            if a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                taken.append((a, b))
+        yield pd.DataFrame(taken, columns=["na", "nb"])
+
+
+def greedy_edges(edges: DataFrame, order: list[str], most: int | None = None) -> DataFrame:
     """Exact result of taking edges (a, b, ...) by ``order``, each when both ends are free.
 
-    An edge that is first at both its ends is taken by the loop whatever happens elsewhere; all such
-    edges are taken at once, their ends leave, and the rest goes on. The smallest edge left is always taken, so the
-    work ends; the rounds are logged.
+    An edge that is first at both its ends is taken by the loop whatever happens elsewhere. One such round goes first, as it settles
+    most edges. What is left falls into connected components, found in a number of steps that grows with the logarithm of their
+    length; those of up to ``most`` edges (default ``COMPONENT``) are settled by one ordered pass each. Edges of larger components get another round, which
+    takes at least their smallest edge, and are looked at again; their rounds are logged.
     """
-    left = cut_lineage(edges.withColumn("_k", F.struct(*order, "a", "b")))
+    most = COMPONENT if most is None else most
+    name = lambda c: F.to_json(F.struct(F.col(c)))
+    left = cut_lineage(edges.withColumns({"_k": F.struct(*order, "a", "b"), "na": name("a"), "nb": name("b")}))
     taken: list[DataFrame] = []
     while True:
         log.info("pairing round %d", len(taken) + 1)
         at_a = left.groupBy("a").agg(F.min("_k").alias("_ka"))
         at_b = left.groupBy("b").agg(F.min("_k").alias("_kb"))
         won = cut_lineage(left.join(at_a, "a").join(at_b, "b").where((F.col("_k") == F.col("_ka")) & (F.col("_k") == F.col("_kb"))).drop("_ka", "_kb"))
-        if won.isEmpty():
-            break
         taken.append(won)
         left = cut_lineage(left.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"))
-    out = None
-    for part in taken:
-        out = part if out is None else out.unionByName(part)
-    return edges.limit(0) if out is None else out.drop("_k")
+        if left.isEmpty():
+            break
+        # two nodes of one hash only join their components
+        node_a, node_b = F.xxhash64(F.lit("a"), "na"), F.xxhash64(F.lit("b"), "nb")
+        groups = connected_groups(left.select(node_a.alias("u"), node_b.alias("v")), "u", "v")
+        placed = left.withColumn("id", node_a).join(groups.select("id", F.col("group").alias("component")), "id").drop("id")
+        sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+        placed = cut_lineage(placed.join(sizes, "component"))
+        small = placed.where(F.col("_n") <= most).repartition("component").sortWithinPartitions("component", "_k")
+        settled = small.select("component", "na", "nb").mapInPandas(_greedy, "na string, nb string")
+        taken.append(cut_lineage(left.join(settled, ["na", "nb"])).select(*left.columns))
+        left = cut_lineage(placed.where(F.col("_n") > most).select(*left.columns))
+        if left.isEmpty():
+            break
+    out = taken[0]
+    for part in taken[1:]:
+        out = out.unionByName(part.select(*out.columns))
+    return out.drop("_k", "na", "nb")
 
 
 def free_edges(edges: DataFrame, taken: DataFrame) -> DataFrame:

@@ -36,9 +36,32 @@ def exact_pairs(t: Tables) -> DataFrame:
     return rec.greedy_assign(plan, options)
 
 
-@query("joi08_exact_key_fewest_gaps")
+# The loop itself: one step per plan of a group, which carries the options used so far.
+ASSIGN_SQL = """WITH RECURSIVE it AS (SELECT l_returnflag AS flag, l_partkey AS pk, l_suppkey AS sk, l_orderkey AS o, l_linenumber AS ln, l_orderkey * 8 + l_linenumber AS pos,
+      sum(l_quantity)::INT % 4 AS qty, round_even(min(l_tax) * 100, 0)::INT AS tax FROM lineitem GROUP BY ALL),
+    sh AS (SELECT pk, sk, qty, tax, pos, {'o': o, 'ln': ln} AS s FROM it WHERE flag = 'R'),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY pk, sk ORDER BY pos) AS i FROM it WHERE flag = 'A' AND (pk, sk) IN (SELECT (pk, sk) FROM sh)),
+    op AS (SELECT c.*, list({'s': sh.s, 'cost': (c.qty <> sh.qty)::INT + (c.tax <> sh.tax)::INT} ORDER BY (c.qty <> sh.qty)::INT + (c.tax <> sh.tax)::INT, sh.pos) AS opts
+      FROM (SELECT DISTINCT pk, sk, qty, tax FROM pl) c JOIN sh USING (pk, sk) GROUP BY c.pk, c.sk, c.qty, c.tax),
+    w AS (SELECT pl.pk, pl.sk, pl.i, pl.o, op.opts FROM pl JOIN op USING (pk, sk, qty, tax)),
+    r(pk, sk, i, used, plan_order, choice) AS (
+      SELECT DISTINCT pk, sk, 0::BIGINT, []::STRUCT(o BIGINT, ln INTEGER)[], NULL::BIGINT, NULL::STRUCT(s STRUCT(o BIGINT, ln INTEGER), cost INTEGER) FROM pl
+      UNION ALL SELECT pk, sk, i, CASE WHEN choice IS NULL THEN used ELSE list_append(used, choice.s) END, o, choice FROM (
+        SELECT w.pk, w.sk, w.i, w.o, r.used, list_filter(w.opts, lambda x: NOT list_contains(r.used, x.s))[1] AS choice FROM r JOIN w ON w.pk = r.pk AND w.sk = r.sk AND w.i = r.i + 1))
+    SELECT pk AS l_partkey, sk AS l_suppkey, plan_order, choice.s.o AS shop_order, choice.cost AS cost FROM r WHERE choice IS NOT NULL"""
+
+
+def greedy_sql(name: str, edges: str, order: str) -> str:
+    """CTE ``name``: the edges (page, a, b, ...) of ``edges`` that an ordered loop takes, by recursion over each page."""
+    return f"""{name}_e AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {order}, a, b) AS i FROM ({edges})),
+    {name}_r(page, i, ua, ub, took) AS (SELECT DISTINCT page, 0::BIGINT, []::BIGINT[], []::BIGINT[], FALSE FROM {name}_e
+      UNION ALL SELECT page, i, CASE WHEN ok THEN list_append(ua, a) ELSE ua END, CASE WHEN ok THEN list_append(ub, b) ELSE ub END, ok FROM (
+        SELECT e.page, e.i, e.a, e.b, r.ua, r.ub, NOT list_contains(r.ua, e.a) AND NOT list_contains(r.ub, e.b) AS ok FROM {name}_r r JOIN {name}_e e ON e.page = r.page AND e.i = r.i + 1)),
+    {name} AS (SELECT e.* EXCLUDE (i) FROM {name}_e e JOIN {name}_r r ON r.page = e.page AND r.i = e.i AND r.took)"""
+
+
+@query("joi08_exact_key_fewest_gaps", ASSIGN_SQL)
 def exact_key(t: Tables) -> DataFrame:
-    """The ordered greedy loop is not SQL; the values are checked against a plain loop in the tests."""
     return exact_pairs(t).select("grp.l_partkey", "grp.l_suppkey", F.col("pid.l_orderkey").alias("plan_order"), F.col("sid.l_orderkey").alias("shop_order"), "cost")
 
 
@@ -63,7 +86,15 @@ def nearby_pairs(plan: DataFrame, shop: DataFrame) -> DataFrame:
     return close.withColumn("approximate", F.lit(0)).unionByName(wide.withColumn("approximate", F.lit(1)))
 
 
-@query("joi09_nearby_grid_match")
+NEARBY_SQL = f"""WITH RECURSIVE p AS (SELECT p_brand AS page, p_partkey AS a, (p_size * 20 + p_partkey % 17) / 40 AS x, (p_partkey * 7 % 1000) / 40 AS y, p_partkey % 3 AS qty FROM part),
+    s AS (SELECT 'Brand#' || (s_suppkey % 25 + 1) AS page, s_suppkey AS b, (s_suppkey * 37 % 1000) / 40 AS x, (s_suppkey * 53 % 1000) / 40 AS y, s_suppkey % 3 AS qty FROM supplier),
+    e AS (SELECT page, a, b, round(greatest(abs(p.x - s.x), abs(p.y - s.y)), 9) AS d, (p.qty <> s.qty)::INT AS gaps FROM p JOIN s USING (page)),
+    {greedy_sql("near", "SELECT * FROM e WHERE d <= 0.25", "a, d, gaps")},
+    {greedy_sql("wide", "SELECT * FROM e WHERE d <= 1.0 AND gaps = 0 AND a NOT IN (SELECT a FROM near) AND b NOT IN (SELECT b FROM near)", "a, d, gaps")}
+    SELECT a, b, d, gaps, 0 AS approximate FROM near UNION ALL SELECT a, b, d, gaps, 1 FROM wide"""
+
+
+@query("joi09_nearby_grid_match", NEARBY_SQL)
 def nearby(t: Tables) -> DataFrame:
     return nearby_pairs(*_located(t)).select("a", "b", "d", "gaps", "approximate")
 
@@ -134,7 +165,38 @@ def annotation_pairs(plan: DataFrame, shop: DataFrame) -> DataFrame:
     return done.join(flags, "a", "left").withColumn("competing", F.coalesce("competing", F.lit(0)))
 
 
-@query("joi21_pairing_cascade")
+def _cascade_sql() -> str:
+    kinds = "('ECONOMY', 'SMALL', 'LARGE')"
+    side = lambda name, test: f"""{name} AS (SELECT p_brand AS page, p_partkey AS id, (p_size * 20 + p_partkey % 17) / 100 AS x, (p_partkey * 7 % 1000) / 100 AS y,
+      CASE WHEN p_partkey % 2 = 0 THEN 'H' ELSE 'V' END AS axis, p_size % 3 AS n, p_partkey % 2 AS m FROM part WHERE p_type {test} {kinds})"""
+    free = lambda k: f"a NOT IN (SELECT a FROM done{k}) AND b NOT IN (SELECT b FROM done{k})"
+    columns = "page, a, b, d, across, along, same, differ, cell"
+    passes = [
+        ("d <= 0.6 AND same", "d", "near, same value"),
+        ("d <= 0.6 AND NOT same AND cell", "differ, d", "near, same cell"),
+        ("cell AND differ = 0", "(NOT same)::INT, d", "same cell"),
+        None,
+        ("same AND across <= 0.3 AND along <= 3.0", "across, along", "same line"),
+    ]
+    parts = [side("pl", "IN"), side("sh", "NOT IN"), """e AS (SELECT p.page, p.id AS a, s.id AS b, round(sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)), 9) AS d,
+      round(abs(CASE WHEN p.axis = 'V' THEN p.x - s.x ELSE p.y - s.y END), 9) AS across, round(abs(CASE WHEN p.axis = 'V' THEN p.y - s.y ELSE p.x - s.x END), 9) AS along,
+      p.n = s.n AND p.m = s.m AS same, (p.n <> s.n AND p.m <> s.m)::INT AS differ, floor(p.x) = floor(s.x) AND floor(p.y) = floor(s.y) AS cell FROM pl p JOIN sh s ON s.page = p.page AND s.axis = p.axis)"""]
+    parts.append(f"done0 AS (SELECT {columns}, '' AS how FROM e WHERE FALSE)")
+    for k, step in enumerate(passes):
+        if step is None:
+            parts.append(f"""m AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d, a) AS rb FROM e WHERE d <= 0.8 AND {free(k)})""")
+            chosen, how = f"SELECT {columns} FROM m WHERE ra = 1 AND rb = 1 AND same", "mutual nearest"
+        else:
+            test, order, how = step
+            parts.append(greedy_sql(f"g{k}", f"SELECT * FROM e WHERE {test} AND {free(k)}", order))
+            chosen = f"SELECT {columns} FROM g{k}"
+        parts.append(f"done{k + 1} AS (SELECT * FROM done{k} UNION ALL SELECT *, '{how}' FROM ({chosen}))")
+    return f"""WITH RECURSIVE {', '.join(parts)}, f AS (SELECT DISTINCT x.a FROM done5 x JOIN e o ON o.a = x.a AND o.b <> x.b AND o.d <= greatest(x.d * 1.25, x.d + 0.1)
+      WHERE NOT x.same AND x.how IN ('near, same cell', 'same cell'))
+    SELECT a, b, d, how, (a IN (SELECT a FROM f))::INT AS competing FROM done5"""
+
+
+@query("joi21_pairing_cascade", _cascade_sql())
 def cascade(t: Tables) -> DataFrame:
     return annotation_pairs(_annotations(t, True), _annotations(t, False)).select("a", "b", "d", "how", "competing")
 

@@ -47,6 +47,45 @@ def test_greedy_edges_equals_the_loop(spark):
     assert {(r.a, r.b) for r in rec.greedy_edges(df, ["d"]).collect()} == want
 
 
+def loop_edges(edges):
+    used_a, used_b, want = set(), set(), set()
+    for k, a, b in sorted(edges):
+        if a not in used_a and b not in used_b:
+            want.add((a, b))
+            used_a.add(a)
+            used_b.add(b)
+    return want
+
+
+def test_a_chain_of_clashes_takes_few_rounds(spark, caplog):
+    """Each edge clashes with the one before it, so the loop settles them one by one."""
+    edges = [(float(i), i // 2, (i + 1) // 2) for i in range(2400)]
+    df = spark.createDataFrame(edges, "k double, a int, b int")
+    with caplog.at_level("INFO"):
+        got = {(r.a, r.b) for r in rec.greedy_edges(df, ["k"]).collect()}
+    assert got == loop_edges(edges)
+    assert sum("pairing round" in m for m in caplog.messages) == 1
+
+
+def test_large_components_are_worked_down(spark):
+    random.seed(9)
+    edges = [(round(random.random(), 6), random.randint(0, 30), random.randint(0, 30)) for _ in range(120)]
+    edges = list({(a, b): (k, a, b) for k, a, b in edges}.values())
+    df = spark.createDataFrame(edges, "k double, a int, b int")
+    assert {(r.a, r.b) for r in rec.greedy_edges(df, ["k"], most=6).collect()} == loop_edges(edges)
+
+
+def test_groups_beyond_the_limit_go_through_rounds(spark, monkeypatch):
+    random.seed(10)
+    plans = [(i, random.choice("hhhx"), random.randint(0, 3)) for i in range(30)]
+    shops = [(100 + i, random.choice("hhx"), random.randint(0, 3)) for i in range(25)]
+    p = spark.createDataFrame([(g, c, i, i) for i, g, c in plans], "grp string, cls int, pid int, pos int")
+    s = spark.createDataFrame([(g, i, c, n) for n, (i, g, c) in enumerate(shops)], "grp string, sid int, c int, spos int")
+    options = p.select("grp", "cls").distinct().join(s, "grp").select("grp", "cls", "sid", F.abs(F.col("cls") - F.col("c")).alias("cost"), "spos")
+    monkeypatch.setattr(rec, "COMPONENT", 50)
+    assert {r.pid: r.sid for r in rec.greedy_assign(p, options).collect()} == loop_assign(plans, shops, lambda a, b: abs(a - b))
+
+
 def test_nearby_is_one_to_one_and_in_plan_order(spark):
     random.seed(5)
     plan = [("p", i, random.uniform(0, 4), random.uniform(0, 4), i % 2) for i in range(40)]
