@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.operators import fairness as fair, models
+from ravelin.operators import fairness as fair, fronts, models
 from ravelin.operators.panel import yearly_median
 from ravelin.plans import fragments as fr
 from ravelin.plans.fairness import RATE, SEGMENTS, applicants
@@ -104,6 +104,22 @@ def reduction(t: Tables) -> DataFrame:
     return fair.fairness_frame(chosen, ["grp"], F.col("y"), F.col("selected"))
 
 
+@query("ml10_front_over_bounds")
+def front(t: Tables) -> DataFrame:
+    """Least error under each bound on the gap of true-positive rates, with the duality gap and what the drawn selection comes to."""
+    rows, features = prepared(t), [*CRITERIA, "remote"]
+    points = fronts.constrained_front(rows, features, "y", "grp", "remote", [0.01, 0.05, 0.1, 0.2, 0.5])
+    drawn = []
+    for p in points:
+        selected = fronts.mixed_selection(rows, "id", features, p)
+        drawn.append(selected.agg(F.avg((F.col("selected") != F.col("y")).cast("double")).alias("drawn_error"), F.avg("selected").alias("rate")).withColumn("bound", F.lit(p.bound)))
+    union = drawn[0]
+    for part in drawn[1:]:
+        union = union.unionByName(part)
+    table = [(p.bound, p.error, abs(p.gap), p.lower, p.duality_gap, len(p.mixture)) for p in points]
+    return t.spark.createDataFrame(table, "bound double, error double, gap double, lower double, duality_gap double, rules int").join(F.broadcast(union), "bound")
+
+
 @query("ml11_bootstrap_refits")
 def refits(t: Tables) -> DataFrame:
     """Penalty over weighted refits, and how many decisions each refit would turn."""
