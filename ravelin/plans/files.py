@@ -10,7 +10,7 @@ from ravelin.functions import text
 from ravelin.operators import fairness as fair
 from ravelin.plans import fragments as fr
 from ravelin.plans.registry import query
-from ravelin.sources import files
+from ravelin.sources import files, runs
 from ravelin.sources.tables import Tables
 
 CUSTOMER = T.StructType(
@@ -119,6 +119,29 @@ def inventory(t: Tables) -> DataFrame:
     return t.pages.select("page_id", files.source_id(path).alias("source_id"), files.file_kind(path, FOLDERS, EXTENSIONS).alias("kind"))
 
 
+@query(
+    "src06_inventory_of_written_files",
+    r"""WITH p AS (SELECT page_id, html, ['en', 'fr', 'de', 'other', ''][(page_id % 5 + 1)::INT] AS folder,
+      CASE page_id % 4 WHEN 0 THEN 'E' || lpad((page_id % 100)::VARCHAR, 2, '0') || '_mail' WHEN 1 THEN 'INV-' ELSE 'page' END || '-' || page_id AS stem,
+      ['.txt', '.png', '.CSV'][(page_id % 3 + 1)::INT] AS ending FROM pages)
+    SELECT CASE WHEN folder = '' THEN '' ELSE folder || '/deep/' END || stem || ending AS path, coalesce(strlen(html), 0) AS bytes,
+      CASE WHEN page_id % 4 = 0 THEN substr(stem, 1, 3) ELSE stem END AS source_id,
+      CASE ending WHEN '.png' THEN 'image' WHEN '.CSV' THEN 'csv' ELSE CASE folder WHEN 'en' THEN 'email' WHEN 'fr' THEN CASE WHEN page_id % 4 = 1 THEN 'invoice' ELSE 'contract' END
+        WHEN 'de' THEN 'meeting' ELSE 'archive' END END AS kind FROM p""",
+)
+def written_inventory(t: Tables) -> DataFrame:
+    """Pages written as files below folders, beside files that are left out, then listed."""
+    n = F.col("page_id")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    folder = pick(["en/deep/", "fr/deep/", "de/deep/", "other/deep/", ""])
+    stem = F.when(n % 4 == 0, F.concat(F.lit("E"), F.lpad((n % 100).cast("string"), 2, "0"), F.lit("_mail"))).when(n % 4 == 1, "INV-").otherwise("page")
+    path = F.concat(folder, stem, F.lit("-"), n.cast("string"), pick([".txt", ".png", ".CSV"]))
+    root = files.scratch(t.spark, "inventory")
+    runs.write_files(t.pages.select(path.alias("path"), "html"), root, "path", "html")
+    runs.write_files(t.region.select(F.concat(F.lit("en/"), "r_name", F.lit("/manifest.csv")).alias("path"), "r_name"), root, "path", "r_name")
+    return runs.inventory(t.spark, root, FOLDERS, EXTENSIONS, ["manifest.csv"])
+
+
 @query("src07_json_lines_round_trip",
        "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
 def jsonl(t: Tables) -> DataFrame:
@@ -189,6 +212,48 @@ def annex(t: Tables) -> DataFrame:
     return valid.select("item_id", "sheet", F.size("bars").alias("n_bars"), label.alias("bars"))
 
 
+@query(
+    "src10_annex_counts",
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 3 = 0 OR o_orderkey IN (SELECT l_orderkey FROM lineitem) AS ok FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 3 = 0)
+    SELECT 'valid' AS kind, count(*) FILTER (ok) AS n FROM o UNION ALL SELECT 'invalid', count(*) FILTER (NOT ok) FROM o""",
+)
+def annex_counts(t: Tables) -> DataFrame:
+    """How many records the export keeps and drops; some items have no finding here, so some are dropped."""
+    k = F.col("o_orderkey")
+    rows = t.orders.where((k % 7 != 0) | (k % 3 == 0))
+    items = rows.select(k.alias("item_id"), F.when(k % 3 == 0, F.col("o_orderpriority")).alias("sheet"), F.array(F.struct(F.lit("20M").alias("size"), F.lit(1).alias("qty"))).alias("bars"))
+    findings = t.lineitem.select(F.col("l_orderkey").alias("item_id"), F.lit("sheet").alias("sheet"))
+    run = runs.Run(t.spark)
+    valid, invalid = files.to_annex(items, findings, ["item_id", "sheet"], ["size", "qty"])
+    run.output("valid", valid, files.scratch(t.spark, "annex"))
+    run.output("invalid", invalid, files.scratch(t.spark, "annex-invalid"))
+    return run.manifest().where("metric = 'rows'").select(F.col("name").alias("kind"), F.col("value").cast("long").alias("n"))
+
+
+@query(
+    "src11_manifest_of_a_run",
+    r"""WITH d AS (SELECT * FROM documents), f AS (SELECT d.*, l.quality, n_chars > 400 AS said FROM d JOIN labels l USING (doc_id) WHERE length(trim(text)) > 0),
+    m AS (SELECT 'input' AS section, 'documents' AS name, 'rows' AS metric, count(*)::DOUBLE AS value FROM d UNION ALL SELECT 'input', 'documents', 'bytes', sum(strlen(text))::DOUBLE FROM d
+      UNION ALL SELECT 'input', 'documents', 'digest', sum(('0x' || left(md5(text), 8))::BIGINT)::DOUBLE FROM d
+      UNION ALL SELECT 'stage', 'with text', 'rows', count(*)::DOUBLE FROM d WHERE length(trim(text)) > 0 UNION ALL SELECT 'stage', 'labelled', 'rows', count(*)::DOUBLE FROM f
+      UNION ALL SELECT 'stage', 'labelled', 'good', sum(quality)::DOUBLE FROM f UNION ALL SELECT 'output', 'findings', 'rows', count(*)::DOUBLE FROM f WHERE said
+      UNION ALL SELECT 'evaluation', 'all', 'recall', round(sum((said AND quality = 1)::INT) / sum(quality), 6) FROM f
+      UNION ALL SELECT 'evaluation', 'all', 'precision', round(sum((said AND quality = 1)::INT) / sum(said::INT), 6) FROM f)
+    SELECT * FROM m""",
+)
+def manifest_of_a_run(t: Tables) -> DataFrame:
+    """One run from documents to written findings; sizes of the written files are in the manifest, but not in this comparison."""
+    run = runs.Run(t.spark)
+    docs = run.stage("with text", run.input("documents", t.spark.read.parquet(t.path("documents")), "text").where(F.length(F.trim("text")) > 0))
+    labelled = run.stage("labelled", docs.join(t.labels.select("doc_id", "quality"), "doc_id"), good=F.sum("quality"))
+    path = files.scratch(t.spark, "findings")
+    run.output("findings", labelled.where(F.col("n_chars") > 400).select("doc_id", "quality"), path)
+    found = files.read_jsonl(t.spark, path, "doc_id long, quality int").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good")).first()
+    good = dict((r["metric"], r["value"]) for r in run.manifest().where("name = 'labelled'").collect())["good"]
+    run.evaluation(recall=round((found["good"] or 0) / good, 6), precision=round((found["good"] or 0) / found["n"], 6))
+    return run.manifest().where("NOT (section = 'output' AND metric = 'bytes')")
+
+
 @query(
     "src11_run_manifest",
     """SELECT lang, source, count(*) AS pages, sum(strlen(text))::BIGINT AS bytes, sum((length(trim(text)) > 0)::INT)::BIGINT AS with_text, min(sha256(text)) AS first_sha

@@ -50,10 +50,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below a folder: relative path and size; the contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = F.regexp_replace("path", "^[a-z]+:/*" + root.strip("/").replace(".", r"\.") + "/", "")
+def scan_files(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """Every file below a folder, or below some paths of it: relative path and size; the contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths or root)
+    # both sides without scheme and leading slashes; paths come percent-encoded
+    bare = lambda c: F.regexp_replace(c, "^[a-z]+:/*|^/+", "")
+    relative = F.substring(bare(F.col("path")), F.length(bare(F.lit(root.rstrip("/")))) + F.lit(2), F.length("path"))
     return files.select(relative.alias("path"), F.col("length").alias("bytes"))
 
 
