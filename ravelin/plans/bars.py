@@ -81,6 +81,46 @@ def misread_labels(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", bars.fix_label(label, bars.LETTER_FIXES, right).alias("fixed"))
 
 
+LETTERS, NUMBERS = list("ABGSTZOI"), ["1", "4", "5", "6", "8", "9", "10", "15", "2"]
+KNOWN_PAIRS = [f"{a}-{b}" for i, a in enumerate(LETTERS) for j, b in enumerate(NUMBERS) if (i + j) % 2]
+_SQL_LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+_FIX_ROWS = lambda kind, fixes: ", ".join(f"('{kind}', '{seen}', '{meant}')" for seen, all_ in fixes.items() for meant in all_)
+
+
+@query(
+    "txt22_misread_locations",
+    rf"""WITH RECURSIVE raw AS (SELECT p_partkey AS k, {_SQL_LIST(LETTERS)}[(p_partkey % 8 + 1)::INT] AS l, {_SQL_LIST(NUMBERS)}[(p_partkey // 8 % 9 + 1)::INT] AS n FROM part),
+    seen AS (SELECT k, CASE WHEN k % 3 = 0 THEN translate(l, 'ABGSTZOI', '48657201') ELSE l END || CASE WHEN k % 25 = 0 THEN '.17' WHEN k % 5 = 0 THEN '.' || k % 10 WHEN k % 7 = 0 THEN '4' WHEN k % 11 = 0 THEN chr(39) ELSE '' END AS letter,
+      CASE WHEN k % 4 = 1 THEN translate(n, '14568902', 'IASGBSOZ') ELSE n END AS number FROM raw),
+    word AS (SELECT DISTINCT 'l' AS kind, regexp_replace(letter, '^(.+\.\d)\d$', '\1') AS label, letter AS shown FROM seen UNION SELECT DISTINCT 'n', regexp_replace(number, '^(.+\.\d)\d$', '\1'), number FROM seen),
+    vocab AS (SELECT 'l' AS kind, unnest({_SQL_LIST(LETTERS)}) AS w UNION ALL SELECT 'n', unnest({_SQL_LIST(NUMBERS)})),
+    fixes(kind, seen, meant) AS (VALUES {_FIX_ROWS('l', bars.LETTER_FIXES)}, {_FIX_ROWS('n', bars.NUMBER_FIXES)}),
+    form AS (SELECT DISTINCT kind, label, 0 AS place, label AS form FROM word UNION SELECT DISTINCT kind, label, 1, substr(label, 1, 1) || '.' || substr(label, 2, 1) FROM word WHERE length(label) = 2),
+    chars AS (SELECT DISTINCT kind, unnest(string_split(form, '')) AS c FROM form), opt AS (SELECT kind, c, c AS o FROM chars UNION SELECT kind, seen, meant FROM fixes),
+    v(kind, label, place, form, i, made) AS (SELECT kind, label, place, form, 0, '' FROM form UNION ALL SELECT v.kind, label, place, form, i + 1, made || o FROM v JOIN opt ON opt.kind = v.kind AND opt.c = substr(form, i + 1, 1) WHERE i < length(form)),
+    hit AS (SELECT DISTINCT v.kind, label, place, made FROM v JOIN vocab ON vocab.kind = v.kind AND (made = w OR (regexp_matches(made, '^.+\.\d$') AND left(made, length(made) - 2) = w)) WHERE i = length(form)),
+    own AS (SELECT DISTINCT kind, label FROM hit WHERE place = 0 AND made = label),
+    ok AS (SELECT h.kind, h.label, made FROM hit h LEFT JOIN own USING (kind, label) WHERE CASE WHEN own.label IS NOT NULL THEN made = h.label AND place = 0
+      ELSE NOT contains(h.label, chr(39)) AND place = (SELECT min(place) FROM hit x WHERE x.kind = h.kind AND x.label = h.label) END),
+    both_sides AS (SELECT s.k, a.made || '-' || b.made AS location FROM seen s JOIN word wl ON wl.kind = 'l' AND wl.shown = s.letter JOIN word wn ON wn.kind = 'n' AND wn.shown = s.number
+      JOIN ok a ON a.kind = 'l' AND a.label = wl.label JOIN ok b ON b.kind = 'n' AND b.label = wn.label),
+    n AS (SELECT k, count(*) AS several FROM both_sides GROUP BY k),
+    kept AS (SELECT k, max(location) AS location, count(*) AS c FROM both_sides JOIN n USING (k) WHERE several = 1 OR location IN (SELECT unnest({_SQL_LIST(KNOWN_PAIRS)})) GROUP BY k)
+    SELECT s.k AS p_partkey, s.letter, s.number, CASE WHEN c = 1 THEN location END AS location FROM seen s LEFT JOIN kept USING (k)""",
+)
+def misread_locations(t: Tables) -> DataFrame:
+    """Locations of a letter and a number, some characters of which were taken for others; several readings go by the known pairs."""
+    k = F.col("p_partkey")
+    listed = lambda values: F.array(*[F.lit(v) for v in values])
+    letter, number = F.get(listed(LETTERS), (k % 8).cast("int")), F.get(listed(NUMBERS), (F.floor(k / 8) % 9).cast("int"))
+    end = F.when(k % 25 == 0, ".17").when(k % 5 == 0, F.concat(F.lit("."), S(k % 10))).when(k % 7 == 0, "4").when(k % 11 == 0, "'").otherwise("")
+    rows = t.part.select(
+        "p_partkey", F.concat(F.when(k % 3 == 0, F.translate(letter, "ABGSTZOI", "48657201")).otherwise(letter), end).alias("letter"),
+        F.when(k % 4 == 1, F.translate(number, "14568902", "IASGBSOZ")).otherwise(number).alias("number"),
+    )
+    return rows.withColumn("location", bars.fix_location(F.col("letter"), F.col("number"), listed(LETTERS), listed(NUMBERS), listed(KNOWN_PAIRS)))
+
+
 @query(
     "txt23_one_edit_label_repair",
     """WITH w AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN r_name WHEN 1 THEN substr(r_name, 2) WHEN 2 THEN 'X' || substr(r_name, 2) ELSE 'XX' || substr(r_name, 3) END AS word
