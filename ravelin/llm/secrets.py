@@ -3,7 +3,9 @@
 Base kinds (leftmost matches that don't overlap, then failing ones dropped): ``assign``, ``access``, ``hex``. The method adds ``entropy``
 spans: candidates are runs of key characters; the smallest character class that holds a candidate gives window length and threshold. A
 window slides over the candidate one character at a time: the counts of the characters in it change by one entering and one leaving
-character, and the sum of ``c * log2(c)`` over the counts follows from those two counts alone, so a step doesn't recompute the window.
+character, and the sum of ``c * log2(c)`` over the counts follows from those two counts alone, so a step doesn't recompute the window. A
+candidate is folded in blocks of places and a text's matches in blocks of matches, so a long candidate or a text of many takes time in
+proportion to its length.
 Window entropy is ``log2(w) - sum / w``. Windows over the threshold that touch or overlap are one span. A candidate that contains an
 allow-listed string (ignoring ASCII case) or is a single run of an alphabet is suppressed; base spans never are.
 
@@ -19,11 +21,13 @@ empty texts have no spans; repeated rows are scanned one by one; columns named l
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.functions.binding import let
 from ravelin.llm.registry import query, table
 
 #: The base patterns.
@@ -52,6 +56,10 @@ class CharClass:
         """c * log2(c) for the counts 0..window, in millionths of a bit."""
         return [round(UNIT * c * math.log2(c)) if c else 0 for c in range(self.window + 1)]
 
+    def alphabet(self) -> str:
+        """Its characters, in order."""
+        return "".join(c for c in map(chr, range(128)) if re.match(self.pattern, c))
+
     def most(self) -> int:
         """Largest sum over the counts at which a window still has ``bits`` of entropy."""
         return math.floor(UNIT * self.window * (math.log2(self.window) - self.bits))
@@ -67,68 +75,100 @@ DIGIT = "[0-9]"
 ALLOW = ("example", "placeholder", "changeme", "xxxxxxxx", "00000000", "abcdefghij", "0123456789")
 
 
-def located(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
-    """Spans (start, end, kind) of the matches whose ``group`` has at least ``least`` characters.
+SPAN = "struct<start:int,end:int,kind:string,value:int>"
+MATCH = "struct<start:int,end:int,kind:string,value:int,string:string>"
+#: Lists in folds grow by copying, so folds run over blocks: of matches, and of places of a candidate.
+MATCH_BLOCK, PLACE_BLOCK = 256, 1024
+
+
+def _matches(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
+    """Matches (start, end, kind, value, string) whose ``group`` has at least ``least`` characters.
 
     The pieces between the matches give the places: match k starts after k + 1 pieces and k matches.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    pieces = F.split(text, pattern, -1)
     rows = F.arrays_zip(
-        F.transform(pieces, lambda x: F.length(x)).alias("gap"), F.transform(matches, lambda x: F.length(x)).alias("long"), F.transform(values, lambda x: F.length(x)).alias("value")
-    )
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,value:int>>")
-    found = F.aggregate(
-        F.filter(rows, lambda r: r["long"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, r: F.struct(
-            (acc["at"] + r["gap"] + r["long"]).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(F.struct((acc["at"] + r["gap"]).alias("start"), (acc["at"] + r["gap"] + r["long"]).alias("end"), F.lit(kind).alias("kind"), r["value"].alias("value"))),
-            ).alias("spans"),
-        ),
-        lambda acc: F.filter(acc["spans"], lambda s: s["value"] >= least),
+        F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), F.transform(matches, lambda x: F.length(x)).alias("long"), F.transform(values, lambda x: F.length(x)).alias("value"), matches.alias("string")
     )
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(empty)
+    empty = F.expr(f"cast(array() as array<{MATCH}>)")
+
+    def block(rows: Column, first: Column) -> Column:
+        """Matches from number ``first`` on; those before it only say where it starts."""
+        before = F.aggregate(F.slice(rows, 1, first), F.lit(0), lambda at, r: at + r["gap"] + r["long"])
+        start = F.struct(before.alias("at"), empty.alias("found"))
+
+        def step(acc: Column, r: Column) -> Column:
+            end = acc["at"] + r["gap"] + r["long"]
+            match = F.struct((acc["at"] + r["gap"]).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), r["value"].alias("value"), r["string"].alias("string"))
+            return F.struct(end.alias("at"), F.concat(acc["found"], F.array(match)).alias("found"))
+
+        return F.aggregate(F.slice(rows, first + 1, MATCH_BLOCK), start, step, lambda acc: F.filter(acc["found"], lambda m: m["value"] >= least))
+
+    def places(rows: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(rows) - 1, F.lit(MATCH_BLOCK)), lambda first: block(rows, first)))
+
+    whole = let(F.filter(rows, lambda r: r["long"].isNotNull()), places)
+    return F.when(F.regexp_like(text, F.lit(pattern)), whole).otherwise(empty)
+
+
+def located(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
+    """Spans (start, end, kind, value) of ``_matches``."""
+    return F.transform(_matches(text, pattern, kind, group, least), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"), m["value"].alias("value")))
+
+
+def _touching(spans: Column) -> Column:
+    """Windows (from, to) in order, those that touch or overlap as one. All are of one length, so neighbours tell."""
+    fresh = F.filter(spans, lambda x, i: (i == 0) | (F.get(spans, i - 1)["to"] < x["from"]))
+    last = F.filter(spans, lambda x, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["from"] > x["to"]))
+    return F.zip_with(fresh, last, lambda a, b: F.struct(a["from"].alias("from"), b["to"].alias("to")))
 
 
 def _high_windows(candidate: Column, kind: CharClass) -> Column:
-    """0-based (from, to) of the merged windows of ``candidate`` with enough entropy."""
+    """0-based (from, to) of the merged windows of ``candidate`` with enough entropy.
+
+    The candidate is turned into numbers of its characters once. Blocks of places are folded one by one; each starts with the window
+    before it, so a step only knows the counts of the characters in its window.
+    """
     w, weights = kind.window, F.array(*[F.lit(x) for x in kind.weights()])
-    char = lambda i: F.substring(candidate, i, F.lit(1))
-
-    def step(acc: Column, i: Column) -> Column:
-        """The character at place ``i`` (from 1) enters, the one ``w`` places before leaves. Each count is read once from the map of counts."""
-        enter, leave = char(i), F.when(i > w, char(i - w)).otherwise(F.lit(""))
-        changed = enter != leave
-        now = F.coalesce(F.try_element_at(acc["counts"], enter), F.lit(0))
-        was = F.coalesce(F.try_element_at(acc["counts"], leave), F.lit(0))
-        value = lambda c: F.element_at(weights, c + 1)
-        total = acc["sum"] + F.when(changed, value(now + 1) - value(now)).otherwise(0) + F.when(changed & (leave != ""), value(F.greatest(was - 1, F.lit(0))) - value(was)).otherwise(0)
-        counts = F.when(
-            changed,
-            F.map_concat(F.map_filter(acc["counts"], lambda k, v: (k != enter) & (k != leave)), F.map_from_arrays(
-                F.filter(F.array(enter, leave), lambda k: k != ""), F.when(leave != "", F.array(now + 1, was - 1)).otherwise(F.array(now + 1)))),
-        ).otherwise(acc["counts"])
-        good = (i >= w) & (total <= kind.most())
-        last = F.try_element_at(acc["spans"], F.lit(-1))
-        joined = F.when(
-            F.coalesce(last["to"] >= i - w, F.lit(False)),
-            F.concat(F.slice(acc["spans"], 1, F.greatest(F.size(acc["spans"]) - 1, F.lit(0))), F.array(F.struct(last["from"].alias("from"), i.alias("to")))),
-        ).otherwise(F.concat(acc["spans"], F.array(F.struct((i - w).alias("from"), i.alias("to")))))
-        return F.struct(total.alias("sum"), counts.alias("counts"), F.when(good, joined).otherwise(acc["spans"]).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("sum"), F.expr("cast(map() as map<string,int>)").alias("counts"), F.expr("cast(array() as array<struct<from:int,to:int>>)").alias("spans"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, lambda acc: acc["spans"])
-
-
-def entropy_spans(text: Column, candidates: Column, allow: tuple[str, ...] = ALLOW) -> Column:
-    """Spans of kind ``entropy``; ``candidates``: spans of the candidate strings."""
+    value = lambda c: F.element_at(weights, c + 1)
+    empty = F.expr("cast(array() as array<struct<from:int,to:int>>)")
+
+    def block(codes: Column, first: Column) -> Column:
+        """Windows that end at the places ``first`` (from 1) to the block's last."""
+        origin = F.greatest(first - w, F.lit(1))
+
+        def step(acc: Column, i: Column) -> Column:
+            """The character at place ``i`` enters, the one ``w`` places before leaves; their two counts change the sum."""
+            enter, leave = F.get(codes, i - 1), F.when(i - w >= origin, F.get(codes, i - 1 - w)).otherwise(F.lit(-1))
+            now, was = F.get(acc["counts"], enter), F.coalesce(F.get(acc["counts"], F.nullif(leave, F.lit(-1))), F.lit(1))
+            total = acc["sum"] + F.when(enter == leave, 0).otherwise(value(now + 1) - value(now) + value(was - 1) - value(was))
+            counts = F.transform(acc["counts"], lambda c, k: c + (k == enter).cast("int") - (k == leave).cast("int"))
+            good = (i >= first) & (i >= w) & (total <= kind.most())
+            last = F.try_element_at(acc["spans"], F.lit(-1))
+            joined = F.when(
+                F.coalesce(last["to"] >= i - w, F.lit(False)),
+                F.concat(F.slice(acc["spans"], 1, F.size(acc["spans"]) - 1), F.array(F.struct(last["from"].alias("from"), i.alias("to")))),
+            ).otherwise(F.concat(acc["spans"], F.array(F.struct((i - w).alias("from"), i.alias("to")))))
+            return F.struct(total.alias("sum"), F.when(enter == leave, acc["counts"]).otherwise(counts).alias("counts"), F.when(good, joined).otherwise(acc["spans"]).alias("spans"))
+
+        start = F.struct(F.lit(0).alias("sum"), F.array_repeat(F.lit(0), len(kind.alphabet())).alias("counts"), empty.alias("spans"))
+        ends = F.sequence(origin, F.least(first + (PLACE_BLOCK - 1), F.size(codes)))
+        return F.aggregate(ends, start, step, lambda acc: acc["spans"])
+
+    def windows(codes: Column) -> Column:
+        found = F.flatten(F.transform(F.sequence(F.lit(1), F.size(codes), F.lit(PLACE_BLOCK)), lambda first: block(codes, first)))
+        return let(found, _touching)
+
+    codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.instr(F.lit(kind.alphabet()), c) - 1)
+    return let(codes, windows)
+
+
+def entropy_spans(candidates: Column, allow: tuple[str, ...] = ALLOW) -> Column:
+    """Spans of kind ``entropy``; ``candidates``: matches of the candidate patterns."""
 
     def of(span: Column) -> Column:
-        string = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+        string = span["string"]
         low = F.lower(string)
         allowed = F.exists(F.array(*[F.lit(a) for a in allow]), lambda a: F.contains(low, a)) if allow else F.lit(False)
         none = F.expr("cast(array() as array<struct<from:int,to:int>>)")
@@ -155,11 +195,11 @@ def joined(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW, runs: bool = False) -> DataFrame:
     """``docs`` with ``spans``: array of (start, end, kind), sorted. With ``runs``, the runs of one class inside a candidate are candidates too."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumn("_candidates", located(whole, CANDIDATE, "entropy"))
+    found = docs.withColumn("_candidates", _matches(whole, CANDIDATE, "entropy"))
     if runs:
-        inside = F.array_distinct(F.concat("_candidates", *(located(whole, r, "entropy") for r in RUNS)))
+        inside = F.array_distinct(F.concat("_candidates", *(_matches(whole, r, "entropy") for r in RUNS)))
         found = found.withColumn("_candidates", F.when(F.size("_candidates") > 0, inside).otherwise(F.col("_candidates")))
-    high = entropy_spans(whole, F.col("_candidates"), allow)
+    high = entropy_spans(F.col("_candidates"), allow)
     spans = F.concat(
         located(whole, ASSIGN, "assign", 2, ASSIGN_VALUE), located(whole, ACCESS, "access"), located(whole, HEX, "hex"), joined(high) if runs else high,
     )

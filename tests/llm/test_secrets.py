@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -40,3 +41,16 @@ def test_allow_list_and_masking(spark):
     out = {r["doc_id"]: r["text"] for r in masked.collect()}
     assert out == {1: "a [secret] b", 2: f"a {key}example b", 3: "see [secret] ok", 4: "plain é", 5: None}
     assert S.scan_secrets(df).where((F.col("doc_id") == 5) & (F.size("spans") == 0)).count() == 1
+
+
+def test_long_candidates_and_many_matches_take_time_in_proportion(spark):
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    string = "".join(rng.choice(alphabet if i // 700 % 2 else "aA1") for i in range(200_000))
+    many = " ".join(f"{rng.getrandbits(160):040x}" for _ in range(20_000))
+    df = spark.createDataFrame([(1, "é " + string), (2, many)], "doc_id int, text string")
+    began = time.time()
+    found = {r["doc_id"]: r["spans"] for r in S.scan_secrets(df, allow=()).collect()}
+    assert time.time() - began < 100
+    assert [(s["start"], s["end"]) for s in found[1] if s["kind"] == "entropy"] == [(2 + a, 2 + b) for a, b in windows(string)]
+    assert [s["start"] for s in found[2] if s["kind"] == "hex"] == [41 * i for i in range(20_000)]
