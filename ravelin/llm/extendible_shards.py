@@ -5,8 +5,10 @@ bucket. A bucket over the byte limit splits on its next bit, others stay as they
 
 Splitting is done on sizes, not on rows: a round sums the bytes per bucket and value of the next ``STEP`` bits, adds these sums up to all
 shorter prefixes, and takes for each value the shortest prefix that fits. Only rows of values that still don't fit go to the next round.
-Sums are combined before they are shuffled and rows are narrow (key, bytes, hashes). The contents move when the shards are written: they
-meet their shard's name by row number, go to one task per shard, and the query lists what it reads back from the files.
+Sums are combined before they are shuffled and rows are narrow (key, bytes, hashes). The contents move once, when the shards are written: the
+directory is a list of disjoint hash ranges, so a scan looks its rows' shards up, and they go to about one task per shard. A directory of
+more than ``DIRECTORY_ROWS`` rows isn't broadcast; rows then meet their shard's name by row number, which is a second exchange. The query
+lists what it reads back from the files.
 
 Rows of equal keys share all bits of the key hash. When a bucket holds one hash only, splitting goes on over the bits of a second hash, of
 the row's number, so one key may be any share of the rows. Such numbers are fixed once the narrow rows are written.
@@ -26,6 +28,10 @@ from ravelin.llm.storage import new_folder, written
 #: Bits of a hash in use, and bits looked at in one round.
 BITS, STEP = 56, 8
 LIMIT_BYTES = 16 << 20
+#: Bits of the cells by which a hash finds its range in the directory, and the most rows (ranges times cells) of a directory that is broadcast.
+FIRST_CELLS, SECOND_CELLS = 16, 8
+DIRECTORY_ROWS = 500_000
+MOST_TASKS = 100_000
 
 
 def hash_bits(value: Column) -> Column:
@@ -88,15 +94,60 @@ def sharded(docs: DataFrame, key: str = "doc_id", content: str = "text", limit:
     return with_sizes(assign_shards(docs, key, content, limit), key)
 
 
-def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", content: str = "text", limit: int = LIMIT_BYTES) -> None:
-    """Parquet folders ``shard=b<bits>`` below ``folder``, one file each.
+def _ranges(bits: Column, name: str, cell_bits: int) -> list[Column]:
+    """Hash range [low, high) of a bit prefix, and the cells of the first ``cell_bits`` bits that it touches."""
+    low = F.conv(F.rpad(bits, BITS, F.lit("0")), 2, 10).cast("long")
+    high = low + F.expr(f"shiftleft(1L, cast({BITS} - length(bits_{name}) as int))")
+    cell = lambda c: F.shiftright(c, BITS - cell_bits)
+    return [low.alias(f"low_{name}"), high.alias(f"high_{name}"), F.sequence(cell(low), cell(high - 1)).alias(f"cells_{name}")]
+
+
+def _directories(names: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The directory as hash ranges, listed per cell: prefixes of the key hash (with their shard, or null where the row number's hash goes
+    on), ranges of the second hash below those, and the number of shards."""
+    shards = written(names.select("shard").distinct(), "directory")
+    parts = F.split("shard", r"\.")
+    split = shards.select("shard", F.get(parts, 0).alias("bits_first"), F.get(parts, 1).alias("bits_second"))
+    first = split.groupBy("bits_first").agg(F.min(F.when(F.col("bits_second").isNull(), F.col("shard"))).alias("shard"))
+    first = first.select("bits_first", "shard", *_ranges(F.col("bits_first"), "first", FIRST_CELLS))
+    first = first.select("bits_first", "shard", "low_first", "high_first", F.explode("cells_first").alias("cell_first"))
+    second = split.where("bits_second is not null")
+    second = second.select("bits_first", F.col("shard").alias("shard_second"), *_ranges(F.col("bits_second"), "second", SECOND_CELLS))
+    second = second.select("bits_first", "shard_second", "low_second", "high_second", F.explode("cells_second").alias("cell_second"))
+    return first, second, shards.count()
+
+
+def _by_directory(docs: DataFrame, key: str, first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows with their shard, looked up in the scan: the directory is broadcast, nothing is exchanged."""
+    hashed = docs.drop("shard").withColumn("_row", F.monotonically_increasing_id())
+    hashed = hashed.withColumns({"_first": hash_bits(F.coalesce(F.col(key).cast("string"), F.lit(""))), "_second": hash_bits(F.col("_row").cast("string"))})
+    hashed = hashed.withColumns({"cell_first": F.shiftright("_first", BITS - FIRST_CELLS), "cell_second": F.shiftright("_second", BITS - SECOND_CELLS)})
+    inside = lambda n: (F.col(f"_{n}") >= F.col(f"low_{n}")) & (F.col(f"_{n}") < F.col(f"high_{n}"))
+    one, two = F.broadcast(first).alias("one"), F.broadcast(second).alias("two")
+    met = hashed.alias("row").join(one, (F.col("row.cell_first") == F.col("one.cell_first")) & inside("first"))
+    met = met.join(two, F.col("one.shard").isNull() & (F.col("one.bits_first") == F.col("two.bits_first")) & (F.col("row.cell_second") == F.col("two.cell_second")) & inside("second"), "left")
+    columns = [F.col(f"row.{c}") for c in docs.drop("shard").columns]
+    return met.select(*columns, F.concat(F.lit("b"), F.coalesce("one.shard", "two.shard_second")).alias("shard"))
+
+
+def _by_row(docs: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """Rows with their shard, met by row number: for directories that are too large to broadcast."""
+    names = names.select(F.col("row").alias("_row"), F.col("key").alias("_key"), F.concat(F.lit("b"), "shard").alias("shard"))
+    rows = docs.drop("shard").withColumn("_row", F.monotonically_increasing_id())
+    return rows.join(names, (rows["_row"] == names["_row"]) & F.col(key).eqNullSafe(F.col("_key"))).drop("_row", "_key")
+
+
+def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", content: str = "text", limit: int = LIMIT_BYTES, largest: int = DIRECTORY_ROWS) -> None:
+    """Parquet folders ``shard=b<bits>`` below ``folder``, one file each. Contents cross one exchange, to about one task per shard.
 
     ``docs`` is read twice and must give the same rows in the same partitions, as scans of files do; otherwise this is an error.
     """
-    names = assign_shards(docs, key, content, limit).select(F.col("row").alias("_row"), F.col("key").alias("_key"), F.concat(F.lit("b"), "shard").alias("shard"))
-    rows = docs.drop("shard").withColumn("_row", F.monotonically_increasing_id())
-    out = rows.join(names, (rows["_row"] == names["_row"]) & F.col(key).eqNullSafe(F.col("_key"))).drop("_row", "_key")
-    out.repartition("shard").write.partitionBy("shard").parquet(folder)
+    names = assign_shards(docs, key, content, limit)
+    first, second, shards = _directories(names)
+    first, second = written(first, "directory-first"), written(second, "directory-second")
+    small = first.count() + second.count() <= largest
+    out = _by_directory(docs, key, first, second) if small else _by_row(docs, key, names)
+    out.repartition(max(1, min(shards, MOST_TASKS)), "shard").write.partitionBy("shard").parquet(folder)
     if read_shards(docs, folder).count() != names.count():
         raise RuntimeError("the input changed between the two reads")
 
