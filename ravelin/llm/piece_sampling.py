@@ -150,8 +150,13 @@ def build_lattice(vocabulary: Vocabulary, data: np.ndarray, limits: np.ndarray)
     n = len(data)
     seg_end = np.repeat(limits[1:], np.diff(limits))
     continuing = (data & 0xC0) == 0x80
-    starts, ends, ids = [], [], []
+    starts, lengths, ids = [], [], []
     at = np.flatnonzero(~continuing)
+    nexts = np.append(at[1:], n)
+    width = np.zeros(n, np.int64)
+    width[at] = nexts - at
+    covered = np.zeros(n, bool)
+    edges_at = np.zeros(n, np.int64)
     node = np.zeros(len(at), np.int32)
     wide = data.astype(np.int32)
     length = 0
@@ -163,26 +168,30 @@ def build_lattice(vocabulary: Vocabulary, data: np.ndarray, limits: np.ndarray)
         length += 1
         piece = vocabulary.ends[node]
         full = piece >= 0
-        starts.append(places[full])
-        ends.append(places[full] + length)
+        begun = places[full]
+        starts.append(begun)
+        lengths.append(length)
         ids.append(piece[full])
+        edges_at[begun] += 1
+        covered[begun[width[begun] == length]] = True
         more = places + length < seg_end[places]
         places, node = places[more], node[more]
     # a character without a piece of its own is spelt in bytes
-    nexts = np.append(at[1:], n)
-    covered = np.zeros(n, bool)
-    for s, e in zip(starts, ends):
-        single = e == nexts[np.searchsorted(at, s)]
-        covered[s[single]] = True
-    spelt = ~covered[at]
-    starts.append(at[spelt])
-    ends.append(nexts[spelt])
-    ids.append(np.full(int(spelt.sum()), -1, np.int32))
-    start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
-    away = seg_end[start] - start
+    spelt = at[~covered[at]]
+    edges_at[spelt] += 1
     # by distance from the end, place, and longest piece first: long pieces are likely, so a draw looks at few edges
-    order = np.argsort((away * (n + 1) + start) * 256 + (255 - np.minimum(end - start, 255)))
-    start, end, piece, away = start[order], end[order], piece[order], away[order]
+    nodes = at[np.argsort(seg_end[at] - at, kind="stable")]
+    upto_node = np.concatenate([[0], np.cumsum(edges_at[nodes])])
+    slot = np.zeros(n, np.int64)
+    slot[nodes] = upto_node[:-1]
+    start = np.repeat(nodes, edges_at[nodes])
+    end, piece = np.empty(len(start), np.int64), np.empty(len(start), np.int32)
+    for begun, length, named in zip(reversed(starts), reversed(lengths), reversed(ids)):
+        where = slot[begun]
+        end[where], piece[where] = begun + length, named
+        slot[begun] += 1
+    end[slot[spelt]], piece[slot[spelt]] = spelt + width[spelt], -1
+    away = seg_end[start] - start
     weight = np.where(piece >= 0, vocabulary.weights[piece], vocabulary.weights[vocabulary.byte_ids[0]] * (end - start)) if n else np.zeros(0)
     low = np.flatnonzero(np.r_[True, start[1:] != start[:-1]]) if len(start) else np.zeros(0, np.int64)
     high = np.append(low[1:], len(start))
@@ -190,15 +199,17 @@ def build_lattice(vocabulary: Vocabulary, data: np.ndarray, limits: np.ndarray)
     # places by distance from their segment's end: sums below are ready when they are needed
     node_away = away[low]
     rounds = np.flatnonzero(np.r_[True, node_away[1:] != node_away[:-1]]) if len(low) else np.zeros(0, np.int64)
-    stop = seg_end[start] if n else np.zeros(0, np.int64)
+    target = np.where(end == seg_end[start], n, end) if n else end
+    logp = weight
     for a, b in zip(rounds, np.append(rounds[1:], len(low))):
         i, j = low[a], high[b - 1]
-        value = weight[i:j] + np.where(end[i:j] == stop[i:j], 0.0, below[np.minimum(end[i:j], n)])
+        logp[i:j] += below[target[i:j]]
+        value = logp[i:j]
         first = low[a:b] - i
         top = np.maximum.reduceat(value, first)
         total = np.add.reduceat(np.exp(value - np.repeat(top, high[a:b] - low[a:b])), first)
         below[start[low[a:b]]] = top + np.log(total)
-    logp = weight + np.where(end == stop, 0.0, below[np.minimum(end, n)]) - below[start] if n else np.zeros(0)
+    logp -= below[start]
     prob = np.exp(logp)
     # running sums node by node, so that they don't depend on what else is in the slice
     upto = prob.copy()
@@ -460,8 +471,8 @@ def log_inclusion(log_prob: float, threshold: float) -> float:
     return float(x if x < -30 else np.log(-np.expm1(-np.exp(min(x, 700.0)))))
 
 
-def decoded(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
-    """Texts of lists of piece ids, joined on arrays."""
+def spelled(vocabulary: Vocabulary, lists: pa.ListArray) -> list[bytes]:
+    """Bytes of lists of piece ids, joined on arrays; nothing for null."""
     ids = lists.flatten().to_numpy(zero_copy_only=False)
     if len(ids) and (ids.min() < 0 or ids.max() >= len(vocabulary.pieces)):
         raise IndexError("a piece id outside the vocabulary")
@@ -470,14 +481,29 @@ def decoded(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
     data = vocabulary.piece_bytes[np.repeat(vocabulary.piece_starts[ids] - upto[:-1], sizes) + np.arange(upto[-1])].tobytes()
     each = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     bounds = upto[np.concatenate([[0], np.cumsum(each)])].tolist()
+    return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _text(raw: bytes) -> str:
+    return raw.decode("utf-8", "replace").removeprefix(" ")
+
+
+def decoded(vocabulary: Vocabulary, lists: pa.ListArray) -> pa.Array:
+    """Texts of lists of piece ids."""
     there = lists.is_valid().to_pylist()
-    return pa.array([data[a:b].decode("utf-8", "replace").removeprefix(" ") if t else None for a, b, t in zip(bounds[:-1], bounds[1:], there)], pa.string())
+    return pa.array([_text(raw) if t else None for raw, t in zip(spelled(vocabulary, lists), there)], pa.string())
 
 
 def round_trips(vocabulary: Vocabulary, lists: pa.ListArray, texts: list[bytes]) -> pa.StructArray:
-    """SHA-256 of the text each list decodes to, and whether it is the given one."""
-    back = [x.encode() for x in decoded(vocabulary, lists).to_pylist()]
-    hashes, same = [hashlib.sha256(x).hexdigest() for x in back], [x == t for x, t in zip(back, texts, strict=True)]
+    """SHA-256 of the text each list decodes to, and whether it is the given one; a text found again in a row is hashed once."""
+    hashes, same, hashed, last = [], [], None, ""
+    for raw, text in zip(spelled(vocabulary, lists), texts, strict=True):
+        whole = raw == b" " + text
+        back = text if whole else _text(raw).encode()
+        if back != hashed:
+            hashed, last = back, hashlib.sha256(back).hexdigest()
+        hashes.append(last)
+        same.append(whole or back == text)
     return pa.StructArray.from_arrays([pa.array(hashes, pa.string()), pa.array(same, pa.bool_())], names=["sha256", "same"])
 
 
