@@ -11,7 +11,7 @@ from tools import check
 ROOT = "/root/testdata/sf0.001"
 QUICK = [
     "win01", "win04", "joi01", "joi02", "agg01", "agg05", "agg22", "agg23", "top01", "top02", "txt01", "txt05", "txt14", "prj08", "src01",
-    "src05", "dq01", "set02", "set03", "joi17", "joi19", "joi22", "joi23", "joi26", "joi27", "joi33", "joi36", "str02", "str05", "udf01", "udf03",
+    "src05", "dq01", "dq07", "top14", "set02", "set03", "joi17", "joi19", "joi22", "joi23", "joi26", "joi27", "joi33", "joi36", "str02", "str05", "udf01", "udf03",
     "agg04", "agg27", "agg29", "win16", "txt09", "txt10", "txt16", "txt18", "txt19", "txt20", "txt21", "txt22", "txt25", "txt26", "txt27", "top03", "top07",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="test tables are absent")
