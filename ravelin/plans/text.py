@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.functions import dates, passages, text
+from ravelin.functions import composition, dates, passages, text
 from ravelin.plans.registry import query
 from ravelin.sources.tables import Tables
 
@@ -247,6 +247,15 @@ def normalised(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(text.normalize(F.col("text"))).alias("digest"))
 
 
+@query("txt11_composed_text", "SELECT doc_id, md5(nfc_normalize(replace(text, 'oi', 'fi'))) AS digest FROM documents")
+def composed_text(t: Tables) -> DataFrame:
+    """Texts taken apart (accents as marks, a ligature) come back composed."""
+    apart = F.replace(F.col("text"), F.lit("oi"), F.lit("\ufb01"))
+    for whole, letter, mark in (("é", "e", "\u0301"), ("è", "e", "\u0300"), ("ê", "e", "\u0302"), ("ç", "c", "\u0327")):
+        apart = F.replace(apart, F.lit(whole), F.lit(letter + mark))
+    return t.documents.select("doc_id", apart.alias("text")).select("doc_id", F.md5(composition.composed(F.col("text"))).alias("digest"))
+
+
 @query(
     "txt12_content_hash_and_fingerprint",
     r"""SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS content_hash,
