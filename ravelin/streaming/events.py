@@ -97,13 +97,18 @@ def run_files(spark: SparkSession, on_event: Callable[[DataFrame, int], None], f
 def cached_apply(df: DataFrame, cache: str, key_columns: list[str], compute: Step) -> tuple[DataFrame, DataFrame]:
     """Answer rows from a cache table; compute and append the misses only. Returns (all answers, misses).
 
-    ``compute`` gets one row per missing key and adds ``value``.
+    ``compute`` gets one row per missing key and adds ``value``. Keys alone are held against the cache; only the rows of
+    those it lacks carry their columns on.
     """
     spark = df.sparkSession
     keyed = df.withColumn("cache_key", fingerprint(*[F.col(c) for c in key_columns]))
-    wanted = keyed.dropDuplicates(["cache_key"])
-    known = spark.read.parquet(cache) if exists(spark, cache) else None
-    misses = wanted if known is None else wanted.join(known.select("cache_key"), "cache_key", "left_anti")
+    if exists(spark, cache):
+        known = spark.read.parquet(cache).select("cache_key")
+        missing = keyed.select("cache_key").distinct().join(known, "cache_key", "left_anti")
+        wanted = keyed.join(missing, "cache_key", "left_semi")
+    else:
+        wanted = keyed
+    misses = wanted.dropDuplicates(["cache_key"])
     fresh = compute(misses).select("cache_key", "value")
     fresh = cut_lineage(fresh)  # read twice, and the cache it was read against is about to change
     fresh.write.mode("append").parquet(cache)
@@ -113,9 +118,15 @@ def cached_apply(df: DataFrame, cache: str, key_columns: list[str], compute: Ste
 
 
 def dedup_apply(df: DataFrame, keys: list[str], compute: Step) -> DataFrame:
-    """Compute once per distinct key and fan the results back."""
-    answers = compute(df.select(*keys).distinct())
-    return df.join(answers, keys, "left")
+    """Compute once per distinct key and fan the results back.
+
+    Rows and answers meet by the fingerprint of the key columns, so texts are neither grouping nor join keys. Null keys
+    are a key of their own. ``compute`` gets the key columns of one row per key and keeps what it does not name.
+    """
+    present = [F.concat(F.col(c).isNotNull().cast("string"), F.lit("\x00"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in keys]
+    keyed = df.withColumn("_key", fingerprint(*present))
+    answers = compute(keyed.select("_key", *keys).dropDuplicates(["_key"]))
+    return keyed.join(answers.drop(*keys), "_key", "left").drop("_key")
 
 
 def lot_stats(events: DataFrame, at: str, window: str, event_type: str) -> DataFrame:

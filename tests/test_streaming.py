@@ -3,9 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from ravelin.operators import corpus
 from ravelin.sources.files import scratch
-from ravelin.streaming import incremental, lots
+from ravelin.streaming import events, incremental, lots
 
 SCHEMA = "event_id long, ts timestamp, event_type string, value double"
 RULES = lots.LotRules("ts", "1 day", "1 day", "event_type", 0.0, 10.0)
@@ -94,3 +96,22 @@ def test_an_event_reads_what_it_touches_and_may_run_again(spark):
     # its own entities and those of the statement that it takes over from
     assert all(read <= 4 for read, _ in store.entities.reads)
     assert {r["subject"] for r in store.diffs().where("version = 1").collect()} == {"security"}
+
+
+def test_repeated_keys_are_computed_once_and_null_keys_have_an_answer(spark):
+    rows = spark.createDataFrame([(1, "a", "x y"), (2, "a", "x y"), (3, "b", None), (4, None, "x y"), (5, "b", None)], "id long, lang string, text string")
+    seen = []
+
+    def compute(df):
+        seen.append(df)
+        return df.withColumn("value", F.concat_ws("/", F.coalesce("lang", F.lit("-")), F.coalesce("text", F.lit("-"))))
+
+    out = {r.id: r.value for r in events.dedup_apply(rows, ["lang", "text"], compute).collect()}
+    assert out == {1: "a/x y", 2: "a/x y", 3: "b/-", 4: "-/x y", 5: "b/-"} and seen[0].count() == 3
+
+
+def test_dedup_joins_on_the_fingerprint(spark):
+    rows = spark.createDataFrame([(1, "x y")], "id long, text string")
+    plan = events.dedup_apply(rows, ["text"], lambda df: df.withColumn("value", F.length("text")))._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "Join" in line]
+    assert keys and all("[_key" in line and "[text" not in line for line in keys)
