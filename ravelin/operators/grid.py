@@ -28,7 +28,8 @@ def bracket(points: DataFrame, lines: DataFrame, keys: list[str], at: str, pos:
     """Add ``before`` and ``after``: the last line at or before each point and the first line past it, as structs.
 
     ``lines`` holds ``keys``, ``pos`` and ``values``. Keys are cut into stretches of ``width``; one
-    row per key and stretch carries the nearest line from the stretches on either side.
+    row per key and stretch carries the nearest line from the stretches on either side. Lines ahead are read
+    in the reversed order: a frame that runs to the end of the window is read anew for every row.
     """
     stretch = lambda c: F.floor(F.col(c) / width)
     line = F.struct(F.col(pos).alias("pos"), *[F.col(v).alias(v) for v in values])
@@ -36,19 +37,19 @@ def bracket(points: DataFrame, lines: DataFrame, keys: list[str], at: str, pos:
     rows = points.withColumn("_p", F.col(at).cast("double")).withColumn("_s", stretch(at))
     ends = marks.groupBy(*keys, "_s").agg(F.min("_line").alias("_first"), F.max("_line").alias("_last"))
     spots = rows.select(*keys, "_s").distinct().join(ends, [*keys, "_s"], "full")
-    order = W.partitionBy(*keys).orderBy("_s")
+    across, earlier = W.partitionBy(*keys), (W.unboundedPreceding, -1)
     carry = spots.select(
-        *keys, "_s", F.last("_last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_back"),
-        F.first("_first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_ahead"),
+        *keys, "_s", F.last("_last", True).over(across.orderBy("_s").rowsBetween(*earlier)).alias("_back"),
+        F.last("_first", True).over(across.orderBy(F.desc("_s")).rowsBetween(*earlier)).alias("_ahead"),
     )
     both = rows.withColumn("_line", F.lit(None).cast(marks.schema["_line"].dataType)).withColumn("_kind", F.lit(1)).unionByName(
         marks.withColumn("_p", F.col("_p").cast("double")).withColumn("_kind", F.lit(0)), allowMissingColumns=True
     )
-    inside = W.partitionBy(*keys, "_s").orderBy("_p", "_kind")
+    inside, order = W.partitionBy(*keys, "_s"), ["_p", "_kind", "_line"]
     placed = both.withColumns(
         {
-            "_in_back": F.last("_line", True).over(inside.rowsBetween(W.unboundedPreceding, 0)),
-            "_in_ahead": F.first("_line", True).over(inside.rowsBetween(1, W.unboundedFollowing)),
+            "_in_back": F.last("_line", True).over(inside.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)),
+            "_in_ahead": F.last("_line", True).over(inside.orderBy(*[F.desc(c) for c in order]).rowsBetween(*earlier)),
         }
     ).where("_kind = 1")
     out = placed.join(carry, [*keys, "_s"], "left").withColumns(
