@@ -185,16 +185,34 @@ def assign_cell(annotations: DataFrame, cells: DataFrame) -> DataFrame:
     return out.withColumn("ambiguous", F.coalesce(unsure, F.lit(False)).cast("int"))
 
 
-def containing_box(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
-    """Smallest box that holds each point: boxes (page, box, x0, y0, x1, y1) are listed under the cells they cover."""
+def boxes_by_cell(boxes: DataFrame, size: float) -> DataFrame:
+    """Boxes (page, box, x0, y0, x1, y1) under the cells they cover, as far as they can be the smallest box there.
+
+    Of boxes with the same corners the first one stands for all; and in a cell that a box covers whole, no box
+    that comes after it by area and name can be the answer, so it is not listed there.
+    """
+    corners = ["x0", "y0", "x1", "y1"]
     steps = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
-    listed = boxes.withColumn("_cx", F.explode(steps("x0", "x1"))).withColumn("_cy", F.explode(steps("y0", "y1")))
+    distinct = boxes.groupBy("page", *corners).agg(F.min("box").alias("box")).withColumn("_rank", F.struct(box_area().alias("area"), "box"))
+    spread = distinct.withColumn("_cx", F.explode(steps("x0", "x1"))).withColumn("_cy", F.explode(steps("y0", "y1")))
+    whole = lambda c, lo, hi: (F.col(lo) <= F.col(c) * size) & (F.col(hi) >= (F.col(c) + 1) * size)
+    covering = F.when(whole("_cx", "x0", "x1") & whole("_cy", "y0", "y1"), F.col("_rank"))
+    first = spread.groupBy("page", "_cx", "_cy").agg(F.min(covering).alias("_first"))
+    kept = F.col("_first").isNull() | (F.col("_rank") <= F.col("_first"))
+    return spread.join(first, ["page", "_cx", "_cy"]).where(kept).drop("_rank", "_first")
+
+
+def box_area() -> Column:
+    return (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+
+
+def containing_box(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
+    """Smallest box that holds each point, the first one by name on a tie."""
     placed = points.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
-    inside = placed.join(listed, ["page", "_cx", "_cy"]).where(
+    inside = placed.join(boxes_by_cell(boxes, size), ["page", "_cx", "_cy"]).where(
         F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
     )
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return top_per_key(inside, ["page", "id"], [area.asc(), F.asc("box")]).select("page", "id", "box", area.alias("area"))
+    return top_per_key(inside, ["page", "id"], [box_area().asc(), F.asc("box")]).select("page", "id", "box", box_area().alias("area"))
 
 
 def corner_locate(boxes: DataFrame, verticals: DataFrame, horizontals: DataFrame, width: float, reach: float = 20.0) -> DataFrame:

@@ -14,3 +14,22 @@ def test_bracket_reads_both_sides_in_linear_frames(spark):
         assert (r.before and tuple(r.before), r.after and tuple(r.after)) == (before, after)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "unboundedfollowing" not in plan.lower()
+
+
+def test_smallest_box_of_many(spark):
+    """Copies of a box and boxes around a whole cell are not listed for every point."""
+    boxes = [("a", b, float(b * 37 % 90), float(b * 53 % 70), float(b * 37 % 90 + 8 + b % 5 * 9), float(b * 53 % 70 + 7 + b % 3 * 11)) for b in range(300)]
+    boxes += [("a", 1000 + b, 0.0, 0.0, 60.0, 60.0) for b in range(500)]
+    points = [("a", i, float(i * 7 % 120), float(i * 11 % 100)) for i in range(400)]
+    box_rows = spark.createDataFrame(boxes, "page string, box long, x0 double, y0 double, x1 double, y1 double")
+    out = grid.containing_box(spark.createDataFrame(points, "page string, id long, x double, y double"), box_rows, 10.0)
+    want = {}
+    for _, i, x, y in points:
+        held = [((x1 - x0) * (y1 - y0), b) for _, b, x0, y0, x1, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1]
+        if held:
+            want[i] = min(held)
+    assert {r.id: (r.area, r.box) for r in out.collect()} == want
+    # 500 copies are one row in each of the 49 cells they touch, and a larger box is left out of the 36 they cover
+    copies = box_rows.where("box >= 1000")
+    larger = copies.limit(1).withColumns({"box": F.lit(2000).cast("long"), "x0": F.lit(-1.0)})
+    assert grid.boxes_by_cell(copies, 10.0).count() == 49 and grid.boxes_by_cell(copies.unionByName(larger), 10.0).count() == 49 + 56 - 36
