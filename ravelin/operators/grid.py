@@ -171,7 +171,28 @@ def assign_cell(annotations: DataFrame, cells: DataFrame) -> DataFrame:
 
     Annotations (page, id, axis, x, y, scale); cells (page, label, tx, ty, scale).
     """
-    near = near_cells(annotations, cells, ["page"], F.col("scale"))
+    return _best_cell(near_cells(annotations, cells, ["page"], F.col("scale")))
+
+
+def assign_crossing(annotations: DataFrame, verticals: DataFrame, horizontals: DataFrame, scale: float) -> DataFrame:
+    """``assign_cell`` where the cells are the crossings of all lines of a page.
+
+    Lines (page, label, pos). Lines are found on one axis after the other, each listed in three stretches, so
+    only crossings next to an annotation are made.
+    """
+    stretch = lambda c: F.floor(F.col(c) / scale)
+
+    def listed(lines: DataFrame, label: str, pos: str) -> DataFrame:
+        spread = F.explode(F.array(*[stretch("pos") + i for i in (-1, 0, 1)])).alias("_c")
+        return lines.select("page", F.col("label").alias(label), F.col("pos").alias(pos), spread)
+
+    rows = annotations.withColumn("scale", F.lit(scale)).withColumn("_c", stretch("x"))
+    across = rows.join(listed(verticals, "_v", "tx"), ["page", "_c"]).where(F.abs(F.col("x") - F.col("tx")) <= ALONG_TOL * scale)
+    near = across.withColumn("_c", stretch("y")).join(listed(horizontals, "_h", "ty"), ["page", "_c"])
+    return _best_cell(near.withColumn("label", F.concat_ws("-", "_h", "_v")))
+
+
+def _best_cell(near: DataFrame) -> DataFrame:
     dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
     perp, along = F.when(F.col("axis") == "H", dy).otherwise(dx), F.when(F.col("axis") == "H", dx).otherwise(dy)
     inside = (F.abs(perp) <= PERP_TOL * F.col("scale")) & (F.abs(along) <= ALONG_TOL * F.col("scale"))

@@ -33,3 +33,16 @@ def test_smallest_box_of_many(spark):
     copies = box_rows.where("box >= 1000")
     larger = copies.limit(1).withColumns({"box": F.lit(2000).cast("long"), "x0": F.lit(-1.0)})
     assert grid.boxes_by_cell(copies, 10.0).count() == 49 and grid.boxes_by_cell(copies.unionByName(larger), 10.0).count() == 49 + 56 - 36
+
+
+def test_crossings_equal_all_cells(spark):
+    verticals = spark.createDataFrame([(p, str(k), k * 13.0 + len(p)) for p in ("a", "bb") for k in range(12)], "page string, label string, pos double")
+    horizontals = spark.createDataFrame([(p, chr(65 + k), k * 11.0) for p in ("a", "bb") for k in range(9)], "page string, label string, pos double")
+    rows = spark.createDataFrame([("a" if i % 3 else "bb", i, "H" if i % 2 else "V", i * 7.0 % 170 - 9, i * 5.0 % 110 - 9) for i in range(200)], "page string, id int, axis string, x double, y double")
+    v, h = (df.withColumnsRenamed({"label": n, "pos": at}) for df, n, at in ((verticals, "v", "tx"), (horizontals, "h", "ty")))
+    cells = v.join(h, "page").select("page", F.concat_ws("-", "h", "v").alias("label"), "tx", "ty", F.lit(12.0).alias("scale"))
+    want = grid.assign_cell(rows.withColumn("scale", F.lit(12.0)), cells)
+    out = grid.assign_crossing(rows, verticals, horizontals, 12.0)
+    assert sorted(out.select(*want.columns).collect()) == sorted(want.collect()) and out.count() > 100
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_c") and "Cartesian" not in plan
