@@ -85,7 +85,8 @@ def attach_interval(
     lists = by_day.groupBy(key, "_month").agg(
         F.collect_list(F.struct(F.col("_best"), F.col("_until"))).alias("_cover")
     )
-    joined = child.withColumn("_month", F.trunc(at, "MM")).join(lists, [key, "_month"], "left")
+    # the lists are larger than Spark estimates from the parents, so they are never sent to the driver
+    joined = child.withColumn("_month", F.trunc(at, "MM")).join(lists.hint("merge"), [key, "_month"], "left")
     holding = F.filter("_cover", lambda c: c["_until"] >= F.to_date(F.col(at)))
     hit = F.array_max(F.transform(holding, lambda c: c["_best"]))
     return (
@@ -111,7 +112,7 @@ def as_of_backward(
     best = served.groupBy(by, left_on).agg(
         F.max_by(F.struct(F.col(right_on), F.col("_value")), right_on).alias("_hit")
     )
-    joined = left.join(best, [by, left_on], "left")
+    joined = left.join(best.hint("merge"), [by, left_on], "left")
     return joined.select(
         *left.columns,
         F.col(f"_hit.{right_on}").alias(right_on),

@@ -33,6 +33,18 @@ def test_interval_attach_month_start_and_end_are_inclusive(spark):
     assert out == {"a": 1, "b": None, "c": 2, "d": 2, "e": None, "f": None}
 
 
+def test_spread_rows_are_not_broadcast(spark):
+    """Rows listed per month or step are many times their table, which is all that Spark's estimate sees."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey", "o_orderkey", "o_orderdate")
+    parents = orders.withColumn("stop", F.date_add("o_orderdate", 364))
+    children = orders.select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
+    attached = panel.attach_interval(children, parents, "o_custkey", "at", "o_orderdate", "stop", "o_orderkey")
+    steps = orders.select("o_custkey", F.month("o_orderdate").alias("m"), "o_orderkey")
+    served = panel.as_of_backward(steps.select("o_custkey", F.col("m").alias("at"), F.col("o_orderkey").alias("id")), steps, "o_custkey", "id", "at", "m", ["o_orderkey"], 3)
+    for out in (attached, served):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_as_of_tolerance_is_inclusive(spark):
     right = spark.createDataFrame([("u", 10, 1.0), ("u", 12, 2.0)], "k string, m int, v double")
     left = spark.createDataFrame([("u", 9, 0), ("u", 11, 1), ("u", 15, 2), ("u", 16, 3)], "k string, at int, id int")
