@@ -109,8 +109,12 @@ def split_by_hash(df: DataFrame, identifier: str, share: float, salt: str) -> tu
 
 
 def forest(train: DataFrame, features: list[str], label: str, trees: int = TREES, leaf: int = LEAF):
+    """Random forest without its training summary.
+
+    The summary holds the session, and a prediction sends its model to the tasks: once the session has observed a query, it can't be sent.
+    """
     rows = assemble(train.select(*features, F.col(label).cast("double").alias("_y")), features)
-    return RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=trees, minInstancesPerNode=leaf, seed=42).fit(rows)
+    return RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=trees, minInstancesPerNode=leaf, seed=42).fit(rows).copy()
 
 
 def predict(df: DataFrame, model, features: list[str]) -> DataFrame:

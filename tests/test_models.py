@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ravelin.operators import fairness as fair, models
@@ -54,3 +55,12 @@ def test_reduction_narrows_the_gap(spark):
     model = models.fit_logit(df, ["x", "g"], "y")
     plain = df.withColumn("selected", (models.linear_score(model, ["x", "g"]) > 0).cast("int"))
     assert gap(models.reduction(df, ["x", "g"], "y", "grp", 0.02)) < gap(plain)
+
+
+def test_forest_predicts_after_an_observed_query(spark):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 5
+    df = sample(spark, 400)
+    scored = models.predict(df, models.forest(df, ["x", "g"], "y", trees=5), ["x", "g"])
+    assert scored.where(F.col("pred") == F.col("y")).count() > 240
