@@ -1,6 +1,7 @@
 """The metric index beside a plain search over all pairs."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ravelin.operators import vectors
@@ -51,6 +52,30 @@ def test_bounds_leave_few_pairs_of_clustered_vectors(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_queries_are_sent_to_tiles_not_to_every_cell(spark):
+    rows = clustered(np.random.default_rng(4), 2000, 1, 0.0)
+    index = table(spark, rows)
+    queries = index.where("id % 20 = 0").select(F.col("id").alias("query"), "vector")
+    built = vectors.build(index, centres=200)
+    assert vectors.probes(built, queries, 5).count() <= 100 * 20
+    found = {(r["query"], r["position"], r["id"]) for r in vectors.search(built, queries, 5).where("query < 100").collect()}
+    assert found == {x[:3] for x in plain(rows, np.ones(len(rows)), range(0, 100, 20), 5, False)}
+
+
+def test_hits_of_a_tile_are_cut_as_they_come(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = np.concatenate([clustered(rng, 1, 1, 0.0).repeat(40, 0), clustered(rng, 200, 1, 0.0)])
+    centres, cells = rows[40:60], (rows @ rows[40:60].T).argmax(1)
+    vector = pa.array(list(rows))
+    held = pa.table({"id": pa.array(range(240)), "vector": vector, "weight": pa.array(np.ones(240)), "cell": pa.array(cells)})
+    asked = pa.table({"query": pa.array(range(240)), "vector": vector, "reach": pa.array(np.full(240, -np.inf))})
+    monkeypatch.setattr(vectors, "HELD", 50)
+    monkeypatch.setattr(vectors, "CELLS", 300)
+    hits = vectors._Tile.of(held, asked, True).hits(centres, np.full(20, 4.0), np.ones(20), 7, None).to_pylist()
+    want = plain(rows, np.ones(240), range(240), 7, True)
+    assert {(h["query"], h["id"], h["score"]) for h in hits} == {(q, i, s) for q, _, i, s in want}
+
+
 def test_tiers_and_empty_tables(spark):
     prepared = spark.createDataFrame([(1, "Q01", ["red", "house"], [1.0, 0.0]), (2, "Q02", ["blue", "boat"], [0.0, 1.0]), (3, "Q03", ["green"], None)], "id long, code string, tokens array<string>, vector array<double>")
     questions = [
