@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ravelin.session import cut_lineage
+
 SMALL_GROUP = 10_000
 ACCURACY = 2_000
 SLACK = 2.0 / ACCURACY
+#: Up to so many brackets go to the rows; with few groups, an exchange by group would sort whole groups in a task.
+SENT_GROUPS = 10_000
 
 
 def grouped_quantile(df: DataFrame, keys: list[str], values: dict[str, Column], p: float = 0.5) -> DataFrame:
@@ -45,6 +49,9 @@ def grouped_quantile(df: DataFrame, keys: list[str], values: dict[str, Column],
         F.when(small, F.lit(float("inf"))).otherwise(F.col("_b")[1]).alias("_hi"),
         (F.lit(p) * (F.col("_n") - 1)).alias("_r"),
     )
+    bracket = cut_lineage(bracket)
+    if bracket.count() <= SENT_GROUPS:
+        bracket = F.broadcast(bracket)
     # rows below the bracket collapse to one null row per map task, rows above it are dropped
     joined = long.join(bracket, by).where(F.col("_v") <= F.col("_hi"))
     counted = joined.groupBy(

@@ -60,3 +60,11 @@ def test_nulls_are_ranked_last(spark):
     digest = lambda i: hashlib.md5(str(i).encode()).hexdigest()
     want = sorted(got, key=lambda i: (i % 5 == 0, -(i % 7) if i % 5 else 0, digest(i)))
     assert [got[i] for i in want] == list(range(1, 201))
+
+
+def test_rows_of_few_groups_are_not_sorted_by_group(spark):
+    df = spark.createDataFrame([(i % 3, float(i)) for i in range(900)], "k int, v double").repartition(4)
+    medians = quantiles.grouped_quantile(df, ["k"], {"m": F.col("v")})
+    assert {r.k: r.m for r in medians.collect()} == {0: 448.5, 1: 449.5, 2: 450.5}
+    plan = medians._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
