@@ -356,18 +356,15 @@ def merge_views(plan: DataFrame, shop: DataFrame) -> DataFrame:
 
 
 def agreement(a: DataFrame, b: DataFrame, key: str, field: Column) -> DataFrame:
-    """Do two readings of a block hold the same multiset of values? Sums of hashes stand for the sorted lists."""
-    word = lambda i: F.conv(F.substring(F.sha2(field.cast("string"), 256), 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")
-
-    def signature(df: DataFrame, n: str) -> DataFrame:
-        sums = [F.coalesce(F.sum(F.when(field.isNotNull(), word(i))), F.lit(0)).alias(f"{n}{i}") for i in range(4)]
-        return df.groupBy(key).agg(F.count(field).alias(f"{n}n"), *sums)
-
-    both = signature(a, "a").join(signature(b, "b"), key)
-    same = F.col("an") == F.col("bn")
-    for i in range(4):
-        same = same & (F.col(f"a{i}") == F.col(f"b{i}"))
-    return both.select(key, same.cast("int").alias("agree"))
+    """Do two readings of a block hold the same multiset of values? Each value counts for one reading and against the other; nulls are no values."""
+    reading = lambda df, sign: df.select(key, field.alias("_v"), F.lit(sign).cast("long").alias("_s"))
+    values = reading(a, 1).unionByName(reading(b, -1)).groupBy(key, "_v").agg(
+        F.sum("_s").alias("_d"), F.max("_s").alias("_a"), F.min("_s").alias("_b")
+    )
+    blocks = values.groupBy(key).agg(
+        F.bool_and(F.col("_v").isNull() | (F.col("_d") == 0)).cast("int").alias("agree"), F.max("_a").alias("_a"), F.min("_b").alias("_b")
+    )
+    return blocks.where((F.col("_a") == 1) & (F.col("_b") == -1) & F.col(key).isNotNull()).select(key, "agree")
 
 
 def merge_reads(lines: DataFrame) -> DataFrame:

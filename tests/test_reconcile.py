@@ -228,3 +228,12 @@ def test_short_quotes_are_found(spark):
     rows = spark.createDataFrame([(10, "Le budget révisé et le planning"), (11, "sous-budgets"), (12, "x a b c d e f g h y")], "id int, text string")
     got = {(r.quote_id, r.id) for r in search.find_quotes(quotes, rows).collect()}
     assert got == {(1, 10), (1, 11), (2, 10), (4, 12)}
+
+
+def test_readings_agree_without_an_exchange_of_hashes(spark):
+    a = spark.createDataFrame([(1, 5), (1, 5), (1, None), (2, 3), (2, 3), (3, 1), (4, None), (5, 1), (None, 2)], "k int, v int")
+    b = spark.createDataFrame([(1, 5), (1, 5), (2, 3), (2, 4), (4, None), (5, 1), (5, 1), (6, 1), (None, 2)], "k int, v int")
+    rows = rec.agreement(a, b, "k", F.col("v"))
+    assert {(r.k, r.agree) for r in rows.collect()} == {(1, 1), (2, 0), (4, 1), (5, 0)}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan and "Join" not in plan
