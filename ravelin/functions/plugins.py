@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import passages
 from ravelin.functions.answers import ANSWER_TYPE, build_answer
+from ravelin.functions.binding import let
 
 #: Default lexicon of the engine: subject and the words that point to it, in order of precedence. A parameter of ``ask``.
 LEXICON = {
@@ -24,13 +25,19 @@ Engine = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 def lexicon_answer(text: Column, lexicon: dict[str, str] | None = None) -> Column:
     """Default engine as columns: first subject of the lexicon, with the share of hits as its probability."""
-    low = F.lower(text)
-    counts = F.array(*[F.struct(F.lit(s).alias("s"), F.size(F.regexp_extract_all(low, F.lit(p), F.lit(0))).alias("n")) for s, p in (lexicon or LEXICON).items()])
-    hits = F.filter(counts, lambda c: c["n"] > 0)
-    total = F.aggregate(hits, F.lit(0), lambda t, c: t + c["n"])
-    found = F.map_from_entries(F.transform(hits, lambda c: F.struct(c["s"], c["n"] / total)))
-    probabilities = F.when(F.size(hits) > 0, found).otherwise(F.create_map(F.lit("noise"), F.lit(1.0)))
-    return build_answer(F.lit("choice"), F.coalesce(F.get(hits, 0)["s"], F.lit("noise")), probabilities, "lexicon")
+    words = (lexicon or LEXICON).items()
+
+    def counted(low: Column) -> Column:
+        counts = F.array(*[F.struct(F.lit(s).alias("s"), F.size(F.regexp_extract_all(low, F.lit(p), F.lit(0))).alias("n")) for s, p in words])
+        return F.filter(counts, lambda c: c["n"] > 0)
+
+    def answer(hits: Column) -> Column:
+        total = F.aggregate(hits, F.lit(0), lambda t, c: t + c["n"])
+        found = F.map_from_entries(F.transform(hits, lambda c: F.struct(c["s"], c["n"] / total)))
+        probabilities = F.when(F.size(hits) > 0, found).otherwise(F.create_map(F.lit("noise"), F.lit(1.0)))
+        return let(probabilities, lambda p: build_answer(F.lit("choice"), F.coalesce(F.get(hits, 0)["s"], F.lit("noise")), p, "lexicon"))
+
+    return let(let(F.lower(text), counted), answer)
 
 
 def ask(df: DataFrame, engine: Engine | None = None, identifier: str = "id", text: str = "text", lexicon: dict[str, str] | None = None) -> DataFrame:
