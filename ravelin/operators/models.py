@@ -180,8 +180,8 @@ def _newton_sums(features: list[str], label: str, beta: np.ndarray) -> Callable[
             p = 1 / (1 + np.exp(-x @ beta.T))
             grad += (w * (pdf[label].to_numpy(float)[:, None] - p)).T @ x
             curve = w * p * (1 - p)
-            for b in range(replicates):
-                gram[b] += x.T @ (x * curve[:, b : b + 1])
+            products = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+            gram += (curve.T @ products).reshape(gram.shape)
         flat = np.concatenate([gram.reshape(replicates, -1), grad], axis=1)
         yield pd.DataFrame({"b": np.repeat(np.arange(replicates), flat.shape[1]), "k": np.tile(np.arange(flat.shape[1]), replicates), "v": flat.ravel()})
 

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -64,3 +65,15 @@ def test_forest_predicts_after_an_observed_query(spark):
     df = sample(spark, 400)
     scored = models.predict(df, models.forest(df, ["x", "g"], "y", trees=5), ["x", "g"])
     assert scored.where(F.col("pred") == F.col("y")).count() > 240
+
+
+def test_normal_equations_equal_a_plain_loop():
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"x": rng.normal(size=30), "y": rng.integers(0, 2, 30), "_hash": rng.integers(-(2**60), 2**60, 30)})
+    beta = rng.normal(size=(4, 2))
+    sums = next(models._newton_sums(["x"], "y", beta)(iter([pdf])))["v"].to_numpy().reshape(4, 6)
+    x, w = np.column_stack([np.ones(30), pdf["x"]]), models.poisson_weights(pdf["_hash"].to_numpy(), 4)
+    for b in range(4):
+        p = 1 / (1 + np.exp(-x @ beta[b]))
+        gram = sum(w[n, b] * p[n] * (1 - p[n]) * np.outer(x[n], x[n]) for n in range(30))
+        assert np.allclose(sums[b], np.r_[gram.ravel(), sum(w[n, b] * (pdf["y"][n] - p[n]) * x[n] for n in range(30))])
