@@ -1,8 +1,6 @@
-"""Compatibility composition of text (form KC) as a column expression.
+"""Compatibility composition of text (form KC), by the character database of the running Python.
 
-The tables follow from the character database of the running Python: decompositions of the characters below U+3400 and of U+F900 to U+FFFF, the
-classes of their marks, and all pairs that compose. Characters elsewhere stay as they are; composed Hangul stays, loose jamo are put together.
-A text without any character that could change is passed through untouched, after one pass of a pattern over it.
+Bytes that are no UTF-8 stay as they are.
 """
 
 from __future__ import annotations
@@ -10,16 +8,13 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from ravelin.functions.binding import let
-
+#: Blocks of the characters that the tests take one by one; so with the pairs.
 BLOCKS = (range(0, 0x3400), range(0xF900, 0x10000))
-LEADS, VOWELS, TAILS = range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)
-SYLLABLES = 0xAC00
-#: Between entries of a table, and within a pair of one; no normalised text holds them.
-ENTRY, PAIR = "\x1e", "\x1f"
 
 
 @lru_cache(maxsize=1)
@@ -35,114 +30,15 @@ def _pairs() -> dict[str, str]:
     return found
 
 
-def _pattern(codes) -> str:
-    """Character class of code points, as ranges."""
-    ranges: list[list[int]] = []
-    for code in sorted(codes):
-        if ranges and ranges[-1][1] == code - 1:
-            ranges[-1][1] = code
-        else:
-            ranges.append([code, code])
-    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
-
-
-def _codes():
-    return (code for block in BLOCKS for code in block)
-
-
-@lru_cache(maxsize=1)
-def _marks() -> tuple[str, str]:
-    """Classes of the marks that are put in order, and of all characters that may join the one before them (jamo apart)."""
-    ordered = [code for code in _codes() if unicodedata.combining(chr(code))]
-    return _pattern(ordered), _pattern({*ordered, *(ord(pair[1]) for pair in _pairs())})
-
-
-@lru_cache(maxsize=1)
-def _restless() -> str:
-    """Class of the characters without which a text is composed already."""
-    own = {code for code in _codes() if not unicodedata.is_normalized("NFKC", chr(code)) or unicodedata.combining(chr(code))}
-    return _pattern(own | {ord(pair[1]) for pair in _pairs()} | {*VOWELS, *TAILS})
-
-
-@lru_cache(maxsize=1)
-def _decompositions() -> str:
-    """Per code point of the blocks, what it decomposes to; nothing where it stays."""
-    flat = (unicodedata.normalize("NFKD", chr(code)) for code in _codes())
-    return ENTRY.join("" if text == chr(code) else text for code, text in zip(_codes(), flat))
-
-
-@lru_cache(maxsize=1)
-def _classes() -> str:
-    return ENTRY.join(str(unicodedata.combining(chr(code))) for code in _codes())
-
-
-def _entry(table: str, char: Column) -> Column:
-    """Entry of a table for a character, null outside the blocks."""
-    code, gap = F.ascii(char), BLOCKS[1].start - BLOCKS[0].stop
-    inside = F.when(code < BLOCKS[0].stop, code).when((code >= BLOCKS[1].start) & (code < BLOCKS[1].stop), code - gap)
-    return F.get(F.split(F.lit(table), ENTRY), inside)
-
-
-def _decompose(col: Column) -> Column:
-    def one(char: Column) -> Column:
-        found = _entry(_decompositions(), char)
-        return F.when(found != "", found).otherwise(char)
-
-    return F.array_join(F.transform(F.split(col, ""), one), "")
-
-
-def _class(char: Column) -> Column:
-    return F.coalesce(_entry(_classes(), char).cast("int"), F.lit(0))
-
-
-def _in_order(col: Column) -> Column:
-    """Marks after each character by class; marks of one class keep their order."""
-    marks, _ = _marks()
-    pieces = F.regexp_extract_all(col, F.lit(rf"(?s)[^{marks}]+|[{marks}]+"), F.lit(0))
-    sort = lambda p: F.array_join(F.transform(F.array_sort(F.transform(F.split(p, ""), lambda c, i: F.struct(_class(c).alias("k"), i.alias("i"), c.alias("c")))), lambda s: s["c"]), "")
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{marks}][{marks}]"), sort(p)).otherwise(p)), "")
-
-
-def _compose(col: Column) -> Column:
-    """Characters with what joins them: a mark joins unless one of its class or a higher one stands between."""
-    _, joining = _marks()
-    pieces = F.regexp_extract_all(col, F.lit(rf"(?s)(?:[^{joining}](?![{joining}]))+|[^{joining}]?[{joining}]+"), F.lit(0))
-    known = F.str_to_map(F.lit(ENTRY.join(pair + PAIR + one for pair, one in _pairs().items())), F.lit(ENTRY), F.lit(PAIR))
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("base"), F.lit("").alias("tail"), F.lit(-1).alias("last"))
-
-    def step(state: Column, char: Column) -> Column:
-        kind = _class(char)
-        one = F.when(state["last"] < kind, F.try_element_at(known, F.concat(state["base"], char)))
-        joined = F.struct(state["done"].alias("done"), one.alias("base"), state["tail"].alias("tail"), state["last"].alias("last"))
-        fresh = F.struct(F.concat(state["done"], state["base"], state["tail"]).alias("done"), char.alias("base"), F.lit("").alias("tail"), F.lit(-1).alias("last"))
-        kept = F.struct(state["done"].alias("done"), state["base"].alias("base"), F.concat(state["tail"], char).alias("tail"), kind.alias("last"))
-        return F.when(one.isNotNull(), joined).when(kind == 0, fresh).otherwise(kept)
-
-    whole = lambda s: F.concat(s["done"], s["base"], s["tail"])
-    fold = lambda p: F.aggregate(F.split(p, ""), start, step, whole)
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"[{joining}]$"), fold(p)).otherwise(p)), "")
-
-
-def _char(code: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+def _form(text: bytes) -> bytes:
+    return unicodedata.normalize("NFKC", text.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
 
 
-def _syllables(col: Column) -> Column:
-    """Loose jamo put together: lead, vowel and perhaps a tail, or a tail after a syllable that has none."""
-    span = lambda r: rf"\x{{{r.start:X}}}-\x{{{r.stop - 1:X}}}"
-    lead, vowel, tail = span(LEADS), span(VOWELS), span(TAILS)
-    hangul = span(range(SYLLABLES, SYLLABLES + len(LEADS) * len(VOWELS) * (len(TAILS) + 1)))
-    sequence = rf"[{lead}][{vowel}][{tail}]?|[{hangul}][{tail}]"
-    code = lambda p, at: F.ascii(F.substring(p, at, 1))
-    last = lambda p, at: F.when(F.length(p) >= at, code(p, at) - TAILS.start + 1).otherwise(0)
-    built = lambda p: _char(SYLLABLES + ((code(p, 1) - LEADS.start) * len(VOWELS) + code(p, 2) - VOWELS.start) * (len(TAILS) + 1) + last(p, 3))
-    open_ = lambda p: (code(p, 1) - SYLLABLES) % (len(TAILS) + 1) == 0
-    join = lambda p: F.when(p.rlike(f"^[{lead}][{vowel}]"), built(p)).when(p.rlike(f"^[{hangul}][{tail}]$") & open_(p), _char(code(p, 1) + last(p, 2))).otherwise(p)
-    pieces = lambda t: F.regexp_extract_all(t, F.lit(rf"(?s){sequence}|(?:(?!{sequence}).)+"), F.lit(0))
-    loose = lambda t: t.rlike(f"[{vowel}{tail}]")
-    return let(col, lambda t: F.when(loose(t), F.array_join(F.transform(pieces(t), join), "")).otherwise(t))
+@F.arrow_udf(BinaryType())
+def _forms(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else t if t.isascii() else _form(t) for t in texts.to_pylist()], pa.binary())
 
 
 def composed(col: Column) -> Column:
     """Form KC of a text; null for null."""
-    return F.when(col.rlike(f"[{_restless()}]"), _syllables(_compose(_in_order(_decompose(col))))).otherwise(col)
+    return _forms(col.cast("binary")).cast("string")

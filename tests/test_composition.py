@@ -28,3 +28,14 @@ def test_random_sequences(spark):
     alphabet = "aeoEA \n🎉é½ﬁ…" + "̧̣́̂̈́̕োೋ각가각゙かΩ"
     assert differing(spark, ["".join(rng.choices(alphabet, k=rng.randrange(1, 12))) for _ in range(4000)] + ["", None, "é" * 20000]) == []
 
+
+
+def test_characters_beyond_the_blocks_and_bytes_that_are_no_text(spark):
+    assert differing(spark, ["a\U0001d400b", "\U0002f800", "\U0001d15é", "\U000110a5\U000110ba"]) == []
+    df = spark.sql("SELECT CAST(X'6565CC81FF65CC81' AS STRING) AS t")
+    assert bytes(df.select(composition.composed(F.col("t")).cast("binary")).first()[0]) == b"e\xc3\xa9\xff\xc3\xa9"
+
+
+def test_texts_full_of_marks_take_no_pattern_per_character(spark):
+    plan = spark.range(1).select(composition.composed(F.lit("é"))).select("*")._jdf.queryExecution().toString()
+    assert "regexp" not in plan and "lambdafunction" not in plan
