@@ -3,17 +3,24 @@
 Ordered greedy matching is independent in the connected components of its candidates. Components (for assignments: groups) of at most
 ``COMPONENT`` rows are settled by one ordered pass each, as the rows stream through a task; larger ones are worked down by rounds of
 joins and aggregations, so no task ever holds more than one small component.
+
+Items that pair by their distance (``greedy_near``, ``first_near``) go to the tasks as items: their edges grow with the square of a
+crowd, so they are made and judged inside a task and never written or exchanged.
 """
 
 from __future__ import annotations
 
+import heapq
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ravelin.operators.corpus import connected_groups
 from ravelin.operators.ordering import running_sum_in_chunks
@@ -24,6 +31,12 @@ LOW_CONFIDENCE, APPROXIMATE_CAP, UNREAD_CAP = 0.5, 0.5, 0.4
 BLOCK = 65536
 #: Most rows of a component that one task settles.
 COMPONENT = 200_000
+#: Most edges that a task looks at together.
+PIECE = 1 << 18
+#: Most items of short runs that a task holds together.
+TOGETHER = 1 << 15
+#: Rule of a pass: distances on both axes and, per class column, (equal, different) -> (allowed, first and second sort key).
+Rule = Callable[[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 log = logging.getLogger(__name__)
 
 
@@ -242,6 +255,289 @@ def free_edges(edges: DataFrame, taken: DataFrame) -> DataFrame:
     return edges.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti")
 
 
+def rounded(v: np.ndarray) -> np.ndarray:
+    """Nine decimals of numbers of 0 and more, as ``F.round`` gives them: halves of the printed number go up."""
+    scaled = v * 1e9
+    low = np.floor(scaled)
+    out = (low + (scaled - low >= 0.5)) / 1e9
+    for i in np.flatnonzero(np.abs(scaled - low - 0.5) < 1e-5):
+        out.flat[i] = float(Decimal(repr(float(v.flat[i]))).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+    return out
+
+
+def _either(c: str) -> Column:
+    """A column that the items of both sides have."""
+    return F.coalesce(F.col(f"p.{c}"), F.col(f"s.{c}"))
+
+
+def _named(items: DataFrame) -> DataFrame:
+    return items.withColumn("name", F.when(F.col("side") == 0, F.to_json(F.struct("p.a"))).otherwise(F.to_json(F.struct("s.b"))))
+
+
+def _both_sides(plan: DataFrame, shop: DataFrame) -> DataFrame:
+    kind = lambda df: F.lit(None).cast(df.schema)
+    ours = plan.select(F.lit(0).alias("side"), F.struct(*plan.columns).alias("p"), kind(shop).alias("s"))
+    return ours.unionByName(shop.select(F.lit(1).alias("side"), kind(plan).alias("p"), F.struct(*shop.columns).alias("s")))
+
+
+def repeated_ids(plan: DataFrame, shop: DataFrame) -> DataFrame:
+    """(side, name) of the ids (``a`` of the plan, ``b`` of the shop) that come on more than one row."""
+    both = plan.select(F.lit(0).alias("side"), "a", F.lit(None).cast(shop.schema["b"].dataType).alias("b")).unionByName(
+        shop.select(F.lit(1).alias("side"), F.lit(None).cast(plan.schema["a"].dataType).alias("a"), "b")
+    )
+    counts = both.groupBy("side", "a", "b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return cut_lineage(_named(counts.select("side", F.struct("a").alias("p"), F.struct("b").alias("s"))).select("side", "name"))
+
+
+def _placed(items: DataFrame, keys: list[str], repeated: DataFrame) -> DataFrame:
+    """Items with all keys and a place, with their component: the items of equal keys, and of keys that share an id."""
+    known = [_either(c).isNotNull() for c in [*keys, "u", "v"]]
+    for test in known:
+        items = items.where(test)
+    placed = items.withColumn("component", F.xxhash64(*[_either(c) for c in keys]))
+    if repeated.isEmpty():
+        return placed
+    node = F.xxhash64("side", "name")
+    shared = _named(placed).join(repeated, ["side", "name"], "left_semi").select(node.alias("u"), F.col("component").alias("v"))
+    groups = connected_groups(shared, "u", "v").select(F.col("id").alias("component"), "group")
+    return placed.join(groups, "component", "left").select(F.coalesce("group", "component").alias("component"), "side", "p", "s")
+
+
+def _cells(reach: tuple[float, float]) -> dict[str, Column]:
+    return {"cx": F.floor(_either("u") / reach[0]), "cy": F.floor(_either("v") / reach[1])}
+
+
+def _stream(items: DataFrame, run: str, keys: list[str], classes: list[str]) -> DataFrame:
+    """Items of a ``run`` one after the other, plans first, each side by its ids; what tasks need of them beside the items."""
+    told = lambda c: F.when(_either(c).isNotNull(), F.to_json(F.struct(_either(c)))).alias(f"is_{c}")
+    dealt = _named(items.repartition(run).sortWithinPartitions(run, "side", "p.a", "s.b"))
+    return dealt.select(
+        F.col(run).alias("run"), "side", "name", F.to_json(F.struct(*[_either(c).alias(c) for c in keys])).alias("keys"), _either("u").cast("double").alias("u"),
+        _either("v").cast("double").alias("v"), "cx", "cy", *[told(c) for c in classes], "p", "s",
+    )
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole runs, from batches that are ordered by them; short runs come together, as they need not be told apart by the tasks."""
+    kept: list[pa.RecordBatch] = []
+    last, held = None, 0
+    for batch in batches:
+        runs = batch.column("run").to_numpy()
+        if not len(runs):
+            continue
+        at = 0
+        for stop in [*(np.flatnonzero(runs[1:] != runs[:-1]) + 1), len(runs)]:
+            if kept and runs[at] != last and held + stop - at > TOGETHER:
+                yield pa.Table.from_batches(kept)
+                kept, held = [], 0
+            kept.append(batch.slice(at, stop - at))
+            held += stop - at
+            last, at = runs[at], stop
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+class _Items:
+    """Columns of a run as arrays; ids, keys and classes as numbers, ids in the order of their side."""
+
+    def __init__(self, table: pa.Table, classes: list[str]):
+        number = lambda c: table[c].to_numpy()
+        code = lambda c: table[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        self.u, self.v, self.cx, self.cy = number("u"), number("v"), number("cx"), number("cy")
+        self.id, self.keys, self.classes = code("name"), code("keys"), [code(f"is_{c}") for c in classes]
+        side = number("side")
+        self.plans, self.shops = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+    def judged(self, i: np.ndarray, j: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rule for plans ``i`` and shops ``j``."""
+        alike = []
+        for c in self.classes:
+            known, same = (c[i] >= 0) & (c[j] >= 0), c[i] == c[j]
+            alike.append((known & same, known & ~same))
+        return rule(np.abs(self.u[i] - self.u[j]), np.abs(self.v[i] - self.v[j]), alike)
+
+    def by_cell(self, rows: np.ndarray) -> dict[tuple, np.ndarray]:
+        at = pd.DataFrame({"k": self.keys[rows], "x": self.cx[rows], "y": self.cy[rows]})
+        return {k: rows[found] for k, found in at.groupby(["k", "x", "y"]).indices.items()}
+
+
+def _in_order(items: _Items, rule: Rule) -> tuple[list[int], list[int]]:
+    """Rows of the plans and shops that an ordered loop over the allowed edges pairs.
+
+    Each plan waits with its best free shop. The least of the waiting edges is the next of the loop if its shop is still free; else
+    its plan looks for a shop again. Rows of one id are one item; all rows of the edge that is taken are returned.
+    """
+    free_plan, free_shop = (np.ones(items.id.max() + 1, bool) for _ in range(2))
+    listed, near = items.by_cell(items.shops), {}
+    none = np.array([], int)
+
+    def around(i: int) -> np.ndarray:
+        at = (k, x, y) = items.keys[i], items.cx[i], items.cy[i]
+        if at not in near:
+            near[at] = np.sort(np.concatenate([listed.get((k, x + p, y + q), none) for p in (-1, 0, 1) for q in (-1, 0, 1)]))
+        near[at] = near[at][free_shop[items.id[near[at]]]]
+        return near[at]
+
+    twins: dict[int, list[int]] = {}
+    if len(np.unique(items.id[items.plans])) < len(items.plans):
+        for i in items.plans:
+            twins.setdefault(items.id[i], []).append(i)
+    several = len(twins) > 0 or len(np.unique(items.id[items.shops])) < len(items.shops)
+    waiting = [(-np.inf, -np.inf, items.id[i], -1, i, -1) for i in items.plans]
+    rows_p: list[int] = []
+    rows_s: list[int] = []
+    while waiting:
+        k1, k2, plan, shop, i, j = heapq.heappop(waiting)
+        if not free_plan[plan]:
+            continue
+        if shop >= 0 and free_shop[shop]:
+            for t in twins.get(plan, [i]) if several else ():
+                same = around(t)
+                same = same[items.id[same] == shop]
+                fits, q1, q2 = items.judged(t, same, rule)
+                same = same[fits & (q1 == k1) & (q2 == k2)]
+                rows_p.extend([t] * len(same))
+                rows_s.extend(same)
+            if not several:
+                rows_p.append(i)
+                rows_s.append(j)
+            free_plan[plan] = free_shop[shop] = False
+            continue
+        found = around(i)
+        fits, q1, q2 = items.judged(i, found, rule)
+        found, q1, q2 = found[fits], q1[fits], q2[fits]
+        if len(found):
+            ties = np.flatnonzero(q1 == q1.min())
+            best = ties[q2[ties].argmin()]
+            heapq.heappush(waiting, (q1[best], q2[best], plan, items.id[found[best]], i, found[best]))
+    return rows_p, rows_s
+
+
+def _settled(batches: Iterator[pa.RecordBatch], rule: Rule, classes: list[str]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each component, by one ordered pass."""
+    for table in _tables(batches):
+        items = _Items(table, classes)
+        # the components of a table have no edges and no ids in common, so one loop gives the pairs of each
+        rows_p, rows_s = _in_order(items, rule) if len(items.plans) and len(items.shops) else ([], [])
+        yield from pa.table({"p": table["p"].take(pa.array(rows_p, pa.int64())), "s": table["s"].take(pa.array(rows_s, pa.int64()))}).to_batches()
+
+
+def _first_in_cells(batches: Iterator[pa.RecordBatch], rule: Rule, classes: list[str]) -> Iterator[pa.RecordBatch]:
+    """Per plan of a cell, and per shop that is listed there, the first of its edges; all rows of that edge."""
+
+    def firsts(one: np.ndarray, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Places of the first edge of each ``one``, edges of equal keys being in the order of the other end's ``rows``."""
+        if not len(one):
+            return np.array([], int)
+        order = np.lexsort((rows, k2, k1, one))
+        begins = np.flatnonzero(np.r_[True, one[order][1:] != one[order][:-1]])
+        first = np.repeat(order[begins], np.diff(np.r_[begins, len(order)]))
+        return order[(k1[order] == k1[first]) & (k2[order] == k2[first]) & (ids[order] == ids[first])]
+
+    def edges(table: pa.Table, of: int, found: list[np.ndarray]) -> list[pa.RecordBatch]:
+        i, j, k1, k2 = found
+        return pa.table({"of": np.full(len(i), of), "k1": k1, "k2": k2, "p": table["p"].take(pa.array(i)), "s": table["s"].take(pa.array(j))}).to_batches()
+
+    for table in _tables(batches):
+        items = _Items(table, classes)
+        plans, shops = items.by_cell(items.plans), items.by_cell(items.shops)
+        met = [(plans[cell], shops[cell]) for cell in plans.keys() & shops.keys()]
+        least = None
+        for own, listed in _pieces(met):
+            i, j = (np.concatenate(x) for x in ([np.repeat(o, len(js)) for o, js in zip(own, listed)], [np.tile(js, len(o)) for o, js in zip(own, listed)]))
+            fits, k1, k2 = items.judged(i, j, rule)
+            found = [x[fits] for x in (i, j, k1.astype(float), k2)]
+            # a row is in one cell, so rows tell the ends of edges apart; all edges of a plan are in one piece, those of a shop may not be
+            yield from edges(table, 0, [x[firsts(found[0], *found[2:], items.id[found[1]], found[1])] for x in found])
+            both = found if least is None else [np.concatenate(x) for x in zip(least, found)]
+            least = [x[firsts(both[1], *both[2:], items.id[both[0]], both[0])] for x in both]
+        if least is not None:
+            yield from edges(table, 1, least)
+
+
+def _pieces(met: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """Plans and shops of cells, with at most ``PIECE`` edges at a time, or those of one plan."""
+    own: list[np.ndarray] = []
+    listed: list[np.ndarray] = []
+    edges = 0
+    for plans, shops in met:
+        size = max(1, PIECE // len(shops))
+        for start in range(0, len(plans), size):
+            part = plans[start : start + size]
+            if own and edges + len(part) * len(shops) > PIECE:
+                yield own, listed
+                own, listed, edges = [], [], 0
+            own.append(part)
+            listed.append(shops)
+            edges += len(part) * len(shops)
+    if own:
+        yield own, listed
+
+
+def _first_both_ways(items: DataFrame, keys: list[str], reach: tuple[float, float], rule: Rule, classes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pairs (p, s) whose edge is the first of both ends, and the (side, name) of all items that have an edge."""
+    spread = F.when(F.col("side") == 1, F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    spread = F.coalesce(spread, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+    listed = items.select("side", "p", "s").withColumns(_cells(reach)).withColumn("o", F.explode(spread))
+    listed = listed.withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")}).drop("o")
+    cell = F.xxhash64(*[_either(c) for c in keys], "cx", "cy")
+    schema = T.StructType([T.StructField("of", T.LongType()), T.StructField("k1", T.DoubleType()), T.StructField("k2", T.DoubleType()), items.schema["p"], items.schema["s"]])
+    stream = _stream(listed.withColumn("cell", cell), "cell", keys, classes)
+    edges = cut_lineage(stream.mapInArrow(lambda batches: _first_in_cells(batches, rule, classes), schema))
+    edges = edges.withColumns({"k": F.struct("k1", "k2", "p.a", "s.b"), "na": F.to_json(F.struct("p.a")), "nb": F.to_json(F.struct("s.b"))})
+    at_a = edges.where("of = 0").groupBy("na").agg(F.min("k").alias("k"))
+    at_b = edges.where("of = 1").groupBy("nb").agg(F.min("k").alias("k"))
+    won = edges.where("of = 0").join(at_a.select("na", "k"), ["na", "k"], "left_semi").join(at_b.select("nb", "k"), ["nb", "k"], "left_semi")
+    live = at_a.select(F.lit(0).alias("side"), F.col("na").alias("name")).unionByName(at_b.select(F.lit(1).alias("side"), F.col("nb").alias("name")))
+    return won.select("p", "s"), live
+
+
+def first_near(plan: DataFrame, shop: DataFrame, keys: list[str], reach: tuple[float, float], rule: Rule, classes: list[str] | None = None) -> DataFrame:
+    """Pairs whose edge is the first of all allowed edges at both its ends; see ``greedy_near``."""
+    items = _both_sides(plan, shop)
+    for c in [*keys, "u", "v"]:
+        items = items.where(_either(c).isNotNull())
+    return _first_both_ways(items, keys, reach, rule, classes or [])[0]
+
+
+def greedy_near(
+    plan: DataFrame, shop: DataFrame, keys: list[str], reach: tuple[float, float], rule: Rule, repeated: DataFrame, classes: list[str] | None = None, most: int | None = None
+) -> DataFrame:
+    """Exact result of taking the edges between near items in order, each when both ends are free; pairs as structs ``p`` and ``s``.
+
+    Sides hold the keys, the classes, ``u`` and ``v`` (place) and ``a`` or ``b`` (id). An edge links items of equal keys whose cells of
+    the size ``reach`` touch, if ``rule`` allows it; edges go by the two keys of the rule, then by ``a`` and ``b``. ``repeated``: see ``repeated_ids``.
+
+    Items of equal keys are a component. Those of up to ``most`` items (default ``COMPONENT``) are settled by one ordered pass each, in
+    memory for the items alone. Larger ones go through rounds that take the edges that are first at both ends, until so few items
+    that have an edge are left; the rounds are serial in the worst case and logged.
+    """
+    most, classes = COMPONENT if most is None else most, classes or []
+    items = _placed(_both_sides(plan, shop), keys, repeated)
+    schema = T.StructType([items.schema["p"], items.schema["s"]])
+    taken: list[DataFrame] = []
+    while True:
+        sizes = items.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+        large = cut_lineage(sizes.where(F.col("_n") > most).select("component"))
+        whole = large.isEmpty()
+        small = items if whole else items.join(large, "component", "left_anti")
+        stream = _stream(small.withColumns(_cells(reach)), "component", keys, classes)
+        taken.append(cut_lineage(stream.mapInArrow(lambda batches: _settled(batches, rule, classes), schema)))
+        if whole:
+            break
+        log.info("pairing round %d of large components", len(taken))
+        rest = cut_lineage(_named(items.join(large, "component", "left_semi")))
+        won, live = _first_both_ways(rest, keys, reach, rule, classes)
+        won = cut_lineage(won)
+        taken.append(won)
+        gone = _named(won.select(F.lit(0).alias("side"), "p", "s")).unionByName(_named(won.select(F.lit(1).alias("side"), "p", "s"))).select("side", "name")
+        items = cut_lineage(rest.join(live, ["side", "name"], "left_semi").join(gone, ["side", "name"], "left_anti").drop("name"))
+    out = taken[0]
+    for part in taken[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def unmatched(plan: DataFrame, shop: DataFrame, pairs: DataFrame, level: list[str]) -> DataFrame:
     """Findings for items of one side only: missing in the shop, or added on a level the plan has.
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,96 @@ def test_readings_agree_without_an_exchange_of_hashes(spark):
     assert {(r.k, r.agree) for r in rows.collect()} == {(1, 1), (2, 0), (4, 1), (5, 0)}
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "sha2" not in plan and "Join" not in plan
+
+
+NEAR_SIDE = "page string, u double, v double, n int"
+
+
+def near_rule(du, dv, alike):
+    """Within 0.6, equal values first; ``n`` may be unknown."""
+    d = rec.rounded(np.sqrt(du * du + dv * dv))
+    (same, other), = alike
+    return (d <= 0.6) & (same | other), np.where(same, 0, 1), d
+
+
+def near_pairs(spark, plan, shop, **more):
+    p, s = spark.createDataFrame(plan, "a int, " + NEAR_SIDE), spark.createDataFrame(shop, "b int, " + NEAR_SIDE)
+    out = rec.greedy_near(p, s, ["page"], (0.61, 0.61), near_rule, rec.repeated_ids(p, s), ["n"], **more)
+    return [tuple(r) for r in out.select("p.a", "s.b").collect()]
+
+
+def near_edges(plan, shop):
+    d = lambda p, s: round(((p[2] - s[2]) ** 2 + (p[3] - s[3]) ** 2) ** 0.5, 9)
+    near = [(p, s) for p in plan for s in shop if p[1] is not None and p[1] == s[1] and None not in (p[4], s[4]) and d(p, s) <= 0.6]
+    return [((int(p[4] != s[4]), d(p, s)), p[0], s[0]) for p, s in near]
+
+
+def near_side(n, pages, step=0.1, first=0):
+    spot = lambda: round(random.randrange(14) * step, 2)
+    return [(first + i, random.choice(pages), spot(), spot(), random.choice([0, 1, 1, None])) for i in range(n)]
+
+
+@pytest.mark.parametrize("most", [None, 20, 1])
+def test_near_items_pair_as_the_loop_with_ties_and_in_rounds(spark, most):
+    random.seed(12)
+    plan, shop = near_side(60, ["x", "x", "y", None]), near_side(50, ["x", "x", "y", None], first=1000)
+    assert sorted(near_pairs(spark, plan, shop, most=most)) == sorted(loop_edges(near_edges(plan, shop)))
+
+
+def test_near_items_of_one_id_are_one_item(spark):
+    """Ids come back on other pages and places; rows that come twice give each row of their pair."""
+    random.seed(13)
+    plan, shop = ([(r[0] % 25, *r[1:]) for r in near_side(40, "xyz")] for _ in range(2))
+    assert set(near_pairs(spark, plan, shop)) == set(near_pairs(spark, plan, shop, most=5)) == loop_edges(near_edges(plan, shop))
+    assert near_pairs(spark, [(1, "x", 0.0, 0.0, 1)] * 2, [(7, "x", 0.1, 0.0, 1)] * 2 + [(8, "x", 0.2, 0.0, 1)]) == [(1, 7)] * 4
+
+
+def test_first_edges_of_both_ends(spark):
+    random.seed(14)
+    plan, shop = near_side(80, "xy"), near_side(70, "xy", first=1000)
+    edges = near_edges(plan, shop)
+    first = lambda k: {min(e for e in edges if e[k] == i) for i in {e[k] for e in edges}}
+    p, s = spark.createDataFrame(plan, "a int, " + NEAR_SIDE), spark.createDataFrame(shop, "b int, " + NEAR_SIDE)
+    got = {tuple(r) for r in rec.first_near(p, s, ["page"], (0.61, 0.61), near_rule, ["n"]).select("p.a", "s.b").collect()}
+    assert got == {e[1:] for e in first(1) & first(2)}
+
+
+def test_rounding_in_tasks_is_that_of_spark(spark):
+    values = [0.1234567885, 0.1234567895, 0.5, 1.0000000005, 2.9999999995, 0.0, *(random.Random(1).random() * 4 for _ in range(300))]
+    want = [r.r for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 9).alias("r")).collect()]
+    assert rec.rounded(np.array(values)).tolist() == want
+
+
+def test_a_crowd_is_paired_without_writing_its_edges(spark, monkeypatch):
+    """All 14,400 pairs of the crowd are within reach; what is written stays near its 240 items."""
+    from ravelin.plans.reconcile import annotation_pairs
+
+    side = lambda first, n: [("p", first + i, (i * 7 % 40) / 100, (i * 11 % 40) / 100 + first / 1e6, "H", i % n, 0, "0:0") for i in range(120)]
+    schema = "page string, id int, x double, y double, axis string, n int, m int, loc string"
+    written, cut = [], rec.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(rec, "cut_lineage", counted)
+    monkeypatch.setattr(corpus, "cut_lineage", counted)
+    assert annotation_pairs(spark.createDataFrame(side(0, 1), schema), spark.createDataFrame(side(1000, 1), schema)).count() == 120
+    assert annotation_pairs(spark.createDataFrame(side(0, 3), schema), spark.createDataFrame(side(1000, 2), schema)).count() == 120
+    assert max(written) <= 240
+
+
+def test_first_edges_do_not_depend_on_the_pieces(spark, monkeypatch):
+    random.seed(15)
+    plan, shop = near_side(30, "x"), near_side(40, "x", first=1000)
+    p, s = spark.createDataFrame(plan, "a int, " + NEAR_SIDE), spark.createDataFrame(shop, "b int, " + NEAR_SIDE)
+    cell = F.lit(1).cast("long")
+    rows = rec._stream(rec._both_sides(p, s).withColumns({"cell": cell, "cx": cell, "cy": cell}), "cell", ["page"], ["n"]).toArrow()
+
+    def told(piece):
+        monkeypatch.setattr(rec, "PIECE", piece)
+        return sorted(str(r) for b in rec._first_in_cells(iter(rows.to_batches(max_chunksize=9)), near_rule, ["n"]) for r in b.to_pylist())
+
+    edges = near_edges(plan, shop)
+    assert told(7) == told(1 << 18) and len(told(7)) == len({e[1] for e in edges}) + len({e[2] for e in edges})
